@@ -18,6 +18,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +37,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_winnowing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
