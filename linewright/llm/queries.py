@@ -12,6 +12,12 @@ from linewright.llm._common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.packing import shard
+
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linewright.llm.toxicity import toxicity
 
@@ -43,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_best_fit, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,8 +26,8 @@ def test_finds_the_sentence():
         texts.append(". ".join(parts))
         labels.append(int(i % 3 == 0))
     weights, bias = tox.fit(texts, np.array(labels), np.ones(len(texts)))
-    score, n, worst, sentence = tox.score_text("w1 w2. w3 vile77x w4. w5", weights | {"": bias}, {})
-    assert score > 0.7 and n == 3 and "vile77x" in sentence
+    score, n, worst, sentence = tox.score_text("w1 w2. w3 vile7x w4. w5", weights | {"": bias}, {})
+    assert score > 0.7 and n == 3 and "vile7x" in sentence
     assert tox.score_text("w1 w2. w3 w4. w5", weights | {"": bias}, {})[0] < 0.5
 
 
