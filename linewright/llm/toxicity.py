@@ -128,10 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict[st
     known = labels.where("toxic is not null and doc_id is not null").where(bucket_of("doc_id", 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.lit(0.0)
-    for label, count in n.items():
-        rate = F.when(F.col("toxic") == label, F.lit(min(1.0, most / count))).otherwise(rate)
-    picked = known.withColumn("rate", rate).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    if not n:
+        return {"": -6.0}
+    rates = F.create_map(*[F.lit(x) for label, count in n.items() for x in (label, min(1.0, most / count))])
+    picked = known.withColumn("rate", rates[F.col("toxic")]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     picked = picked.select("doc_id", "toxic", (1 / F.col("rate")).alias("weight"))
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # about 2 * most rows
     out = sample.groupBy(F.lit(0).alias("one")).applyInPandas(_train, "feature string, weight double").collect()
