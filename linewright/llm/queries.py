@@ -18,6 +18,12 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.suffix_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linewright.llm.toxicity import toxicity
 
@@ -49,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_best_fit, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
