@@ -12,6 +12,12 @@ from linewright.llm._common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linewright.llm.packing import shard
 
@@ -55,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_weak_supervision, op4_best_fit, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
