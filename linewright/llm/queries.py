@@ -24,6 +24,14 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from linewright.llm.rp_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linewright.llm.suffix_tree import score_documents
 
@@ -61,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_weak_supervision, op4_best_fit, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_weak_supervision, op4_best_fit, op5_projection_forest, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
