@@ -14,7 +14,7 @@ No step emits the pairs of a group: each row out of a task is a member's tie or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -216,6 +216,38 @@ def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
         left = materialize(left, "leaders")
 
 
+_SET = T.StructType().add("doc_id", "long").add("shingles", "binary")
+
+
+def exact_links(shared: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between members that share a bucket.
+
+    shared: bucket, rep and n (members of the bucket); sketches: rep and sketch; sets_of: for a table with a doc_id
+    column (reps that are in a family), their doc_id and shingles (sorted distinct 64-bit hashes, as bytes).
+    """
+    families = materialize(components(_ties(shared, sketches), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    sets = materialize(sets_of(families), "sets")
+    load = sets.groupBy("doc_id").agg(F.max(F.length("shingles") / 8).alias("size"))
+    counts = families.join(load, "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    blocks = counts.select("family", F.ceil(F.greatest(F.col("n") / FAMILY_BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    full = placed.join(sets, "doc_id").join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
+    full = materialize(full.select("family", "blocks", "block", "doc_id", "shingles", "sketch"), "family-sets")
+    inner = materialize(full.groupBy("family", "block").applyInPandas(_within, "a long, b long"), "links")
+
+    links = inner.where("a <> b")
+    split = full.where("blocks > 1")
+    if split.isEmpty():
+        return links
+    rooted = split.join(inner.select(F.col("a").alias("root"), F.col("b").alias("doc_id")).distinct(), "doc_id")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    met = rooted.withColumn("other", other).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "root", "shingles", "sketch",
+    )
+    return links.unionByName(materialize(met.groupBy("family", "i", "j").applyInPandas(_between, "a long, b long"), "block-links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id long, text string).
 
@@ -237,29 +269,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(members.join(sizes, "bucket"), "shared-buckets")
     involved = shared.select("rep").distinct()
     sketches = materialize(signed.select(F.col("doc_id").alias("rep"), "sketch").join(involved, "rep", "left_semi").where("sketch is not null").dropDuplicates(["rep"]), "sketches")
-    families = materialize(components(_ties(shared, sketches), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    def sets_of(families: DataFrame) -> DataFrame:
+        wanted = texts.join(families.select("doc_id"), "doc_id", "left_semi")
+        sets = wanted.mapInArrow(_shingles(to_arrow_schema(_SET)), _SET)
+        return sets.where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"])
 
-    wanted = texts.join(families.select("doc_id"), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_shingles(to_arrow_schema(T.StructType().add("doc_id", "long").add("shingles", "binary"))), "doc_id long, shingles binary")
-    sets = sets.where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"])
-    load = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
-    counts = families.join(load, "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    blocks = counts.select("family", F.ceil(F.greatest(F.col("n") / FAMILY_BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    full = placed.join(sets, "doc_id").join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
-    full = materialize(full.select("family", "blocks", "block", "doc_id", "shingles", "sketch"), "family-sets")
-    inner = materialize(full.groupBy("family", "block").applyInPandas(_within, "a long, b long"), "links")
-
-    links = inner.where("a <> b")
-    split = full.where("blocks > 1")
-    if not split.isEmpty():
-        rooted = split.join(inner.select(F.col("a").alias("root"), F.col("b").alias("doc_id")).distinct(), "doc_id")
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-        met = rooted.withColumn("other", other).select(
-            "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "root", "shingles", "sketch",
-        )
-        links = links.unionByName(materialize(met.groupBy("family", "i", "j").applyInPandas(_between, "a long, b long"), "block-links"))
+    links = exact_links(shared, sketches, sets_of)
     # a class is linked through its representative; ids with several rows tie the classes of their texts together
     classed = signed.join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     several = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -12,6 +12,19 @@ from linewright.llm._common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.secrets import find_secrets, seed_findings, train
+
+    model = train(seed_findings(spark))
+    return find_secrets(table(spark, sf_dir, "documents"), model, path="source").drop("value")
+
+
+def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linewright.llm.paragraphs import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linewright.llm.pii import pii_digest
 
@@ -69,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_weak_supervision, op4_best_fit, op5_projection_forest, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_random_forest, op2_paragraph_bands, op3_weak_supervision, op4_best_fit, op5_projection_forest, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
