@@ -1 +1 @@
-
+"""Line files, structured scans, annotated files and sinks."""

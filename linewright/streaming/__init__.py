@@ -1 +1 @@
-
+"""Extensions to streams; everything else works on whole tables."""
