@@ -332,11 +332,11 @@ def line_distance_rel(spark, sf_dir):
 
 
 COMBINED = f"""{SET_PAIRS}, n AS (SELECT log_id, count(*) AS n FROM lines GROUP BY 1),
-  g AS (SELECT q.log_id, i, j, 0.618034 * CASE WHEN either = 0 THEN 0 ELSE 1 - common / either END + 0.381966 * (j - i) / (n - 1) AS d FROM q JOIN n ON n.log_id = q.log_id)"""
+  g AS (SELECT q.log_id, i, j, 0.6180339887 * CASE WHEN either = 0 THEN 0 ELSE 1 - common / either END + 0.3819660112 * (j - i) / (n - 1) AS d FROM q JOIN n ON n.log_id = q.log_id)"""
 
 
 def combined(spark, sf_dir) -> DataFrame:
-    return distances.combine(line_sets(spark, sf_dir), (0.618034, 0.0, 0.381966))
+    return distances.combine(line_sets(spark, sf_dir), (0.6180339887, 0.0, 0.3819660112))
 
 
 @query(f"WITH {COMBINED} SELECT log_id, i, j, round(d, 6) AS d FROM g")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -35,13 +36,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of a query go when it ends, as its result is on shared disk; otherwise they stay until a collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder, so that a lost executor costs no recomputation."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/linewright-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with _shuffles_removed(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         app = self.spark.sparkContext.applicationId
         if app not in _written:
