@@ -85,5 +85,27 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_random_forest, op2_paragraph_bands, op3_weak_supervision, op4_best_fit, op5_projection_forest, op6_suffix_tree, op7_multiple_instance, op8_winnowing, op9_odd_sketches, op10_byte_bpe)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACE_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+_WINNOWING = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents), b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+  bk AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0), ks AS (SELECT DISTINCT k FROM bk),
+  bs AS (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM bk), bw AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS x FROM bs),
+  ds AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k), dw AS (SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS x FROM ds),
+  hit AS (SELECT r, s, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.x = bw.x), pos AS (SELECT r, unnest(range(s, s + k)) AS p FROM hit), n AS (SELECT r, count(DISTINCT p) AS n_hit FROM pos GROUP BY r),
+  i AS (SELECT r, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha FROM hit GROUP BY r)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
+
+_ODD_SKETCHES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents), k AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
+  u AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM k), sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + k - 1], ' ') AS x FROM u), z AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+  c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+  e AS (SELECT i, j FROM c JOIN z p ON p.doc_id = i JOIN z q ON q.doc_id = j WHERE 100 * c.n >= 75 * (p.n + q.n - c.n)), l AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+  reach(i, j) AS (SELECT i, j FROM l UNION SELECT r.i, l.j FROM reach r JOIN l ON l.i = r.j), root AS (SELECT i, least(i, min(j)) AS root FROM reach GROUP BY i)
+  SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN z USING (doc_id) LEFT JOIN root ON root.i = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have a trained model, a packing or byte-pair merges in them, which SQL doesn't express."""
+    return {"op8_winnowing": _WINNOWING, "op9_odd_sketches": _ODD_SKETCHES}
