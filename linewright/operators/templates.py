@@ -8,6 +8,8 @@ length, in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +71,36 @@ class FixedDepthMiner:
         return len(self.templates) - 1
 
 
-def _miner(depth: int, threshold: float, most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_id")
-        miner = FixedDepthMiner(depth, threshold, most)
-        own = [miner.add(list(x)) for x in pdf["tokens"]]
-        return pd.DataFrame({"log_id": pdf["log_id"], "line_id": pdf["line_id"], "template": [" ".join(miner.templates[c]) for c in own]})
+def _by_run(keys: list[str], start, columns: tuple[str, ...]):
+    """A pass over rows that come sorted: rows of equal keys are a run, mined together when it ends.
+
+    start() gives a miner with add(tokens) and templates. Runs are many and short, so they share batches: a grouped
+    function would pay for a frame a run.
+    """
+
+    def ended(run: list[tuple], out: list[list]) -> None:
+        miner = start()
+        own = [miner.add(tokens_) for _, _, tokens_ in run]
+        for (log, line, _), c in zip(run, own, strict=True):
+            out.append([log, line, c, " ".join(miner.templates[c])])
+
+    def frame(out: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["log_id", "line_id", "cluster", "template"])[list(columns)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, out = None, [], []
+        for pdf in batches:
+            for k, log, line, tokens_ in zip(zip(*(pdf[c] for c in keys), strict=True), pdf["log_id"], pdf["line_id"], pdf["tokens"], strict=True):
+                if k != key:
+                    ended(held, out)
+                    key, held = k, []
+                held.append((log, line, list(tokens_)))
+            if out:
+                yield frame(out)
+                out = []
+        ended(held, out)
+        if out:
+            yield frame(out)
 
     return run
 
@@ -90,7 +116,8 @@ def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), depth: int
     ready = ready.withColumn("n_tokens", F.size("tokens"))
     kind = f"log_id {ready.schema['log_id'].dataType.simpleString()}, line_id long, template string"
     long_ = ready.where(F.col("n_tokens") >= depth).select("log_id", "n_tokens", "line_id", "tokens")
-    mined = long_.groupBy("log_id", "n_tokens").applyInPandas(_miner(depth, threshold, most), kind)
+    dealt = long_.repartition("log_id", "n_tokens").sortWithinPartitions("log_id", "n_tokens", "line_id")
+    mined = dealt.mapInPandas(_by_run(["log_id", "n_tokens"], lambda: FixedDepthMiner(depth, threshold, most), ("log_id", "line_id", "template")), kind)
     short = ready.where(F.col("n_tokens") < depth).select("log_id", "line_id", F.array_join("tokens", " ").alias("template"))
     out = ready.join(mined.unionByName(short), ["log_id", "line_id"])
     return out.withColumns({"event_id": template_id(F.col("template")), "variables": variables(F.col("template"), F.col("text"))})
@@ -212,22 +239,13 @@ class SubsequenceMiner:
         return len(self.templates) - 1
 
 
-def _spell(share: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_id")
-        miner = SubsequenceMiner(share)
-        own = [miner.add(list(x)) for x in pdf["tokens"]]
-        return pd.DataFrame({"log_id": pdf["log_id"], "line_id": pdf["line_id"], "cluster": own, "template": [" ".join(miner.templates[c]) for c in own]})
-
-    return run
-
-
 def mine_subsequences(lines: DataFrame, patterns: tuple[str, ...] = (), share: float = 0.5) -> DataFrame:
     """log_id, line_id, cluster and template by longest common subsequences; order matters, so a log is one group."""
     ship_package(lines.sparkSession)
     ready = lines.select("log_id", "line_id", spell_tokens(mask(F.col("text"), patterns)).alias("tokens"))
     kind = f"log_id {ready.schema['log_id'].dataType.simpleString()}, line_id long, cluster long, template string"
-    return ready.groupBy("log_id").applyInPandas(_spell(share), kind)
+    dealt = ready.repartition("log_id").sortWithinPartitions("log_id", "line_id")
+    return dealt.mapInPandas(_by_run(["log_id"], lambda: SubsequenceMiner(share), ("log_id", "line_id", "cluster", "template")), kind)
 
 
 def subsequence_counts(mined: DataFrame) -> DataFrame:
