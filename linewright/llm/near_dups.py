@@ -123,13 +123,16 @@ def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Members:
-    """Sets and sketches of a block's members."""
+    """Sets and sketches of a block's members. Hashes are numbered once, so that a set is checked by marks, not searches."""
 
     def __init__(self, pdf: pd.DataFrame):
         self.ids = pdf["doc_id"].to_numpy()
         self.sketches = _words64(pdf["sketch"])
         self.sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.universe, local = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.local = np.split(local.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.marks = np.zeros(len(self.universe), np.int32)
 
     def linked(self, one: np.ndarray, sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Those of the other members (places) whose full set is at least PERCENT like the one set."""
@@ -139,10 +142,12 @@ class _Members:
             others = others[estimates(sketch, self.sketches[others]) >= CANDIDATE]
         if not len(others):
             return others
-        flat = np.concatenate([self.sets[i] for i in others])
-        at = np.minimum(np.searchsorted(one, flat), n - 1)
+        at = np.minimum(np.searchsorted(self.universe, one), len(self.universe) - 1)
+        at = at[self.universe[at] == one]
+        self.marks[at] = 1
         starts = np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]])
-        same = np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+        same = np.add.reduceat(self.marks[np.concatenate([self.local[i] for i in others])], starts)
+        self.marks[at] = 0
         return others[100 * same >= PERCENT * (n + self.sizes[others] - same)]
 
 
