@@ -22,12 +22,14 @@ from linewright.llm._common import slices, space_words
 from linewright.llm.components import components
 from linewright.llm.near_dups import _A, _B, _SET, SHINGLE, exact_links, odd_sketches
 from linewright.llm.shingles import _powers, min_hashes, mix
-from linewright.plans.lineage import materialize, ship_package
+from linewright.plans.lineage import Table, materialize, ship_package
 
 REACH, LEAST_WORDS = 5, 12
 #: Distinct-looking shingles that a paragraph must have: runs of one word are no passages.
 LEAST_SHINGLES = 8
 BANDS = 2
+#: Keys that may be broadcast, at most; a larger table is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 2 << 20
 
 
@@ -84,7 +86,9 @@ def cut(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first, end, text.runs(first, end - 1), np.stack(keys, axis=1)
 
 
-_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long").add("bands", T.ArrayType(T.LongType(), False))
+_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long")
+for _b in range(BANDS):
+    _CUT = _CUT.add(f"band{_b}", "long")
 
 
 def _cutter(schema: pa.Schema):
@@ -97,10 +101,9 @@ def _cutter(schema: pa.Schema):
                     ids.append(np.full(len(one[0]), d))
             if found:
                 first, end, class_, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(ids)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
-                    pa.array(class_.view(np.int64)), bands.cast(schema.field("bands").type),
+                    pa.array(class_.view(np.int64)), *[pa.array(np.ascontiguousarray(keys[:, b]).view(np.int64)) for b in range(BANDS)],
                 ], schema=schema)
 
     return run
@@ -141,27 +144,40 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(texts.mapInArrow(_cutter(to_arrow_schema(_CUT)), _CUT), "paragraphs")
-
-    keyed = found.select(F.explode("bands").alias("bucket"), F.col("class").alias("rep"))
-    mixed = keyed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket")
-    shared = keyed.join(mixed, "bucket").distinct()
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(shared.join(sizes, "bucket"), "paragraph-buckets")
-    near = shared.select(F.col("rep").alias("class")).distinct()
+    bands = [f"band{b}" for b in range(BANDS)]
+    classes = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies"), *[F.min(b).alias(b) for b in bands])
+    classes = Table(classes, "paragraph-classes")
+
+    # overlapping paragraphs of one text, and of its exact copies, share bands too: such classes have the same places
+    keyed = classes.df.select(F.explode(F.array(*bands)).alias("bucket"), F.col("class").alias("rep"), F.xxhash64("low", "high", "copies").alias("places"))
+    mixed = Table(keyed.groupBy("bucket").agg(F.min("places").alias("a"), F.max("places").alias("b")).where("a <> b").select("bucket"), "mixed-buckets")
+    few = mixed.df.count() <= BROADCAST_KEYS
+    shared = Table(keyed.join(F.broadcast(mixed.df) if few else mixed.df, "bucket").select("bucket", "rep").distinct(), "shared-paragraphs")
+    sizes = shared.df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = shared.df.join(sizes, "bucket")
+    near = Table(shared.df.select(F.col("rep").alias("class")).distinct(), "near-classes")
+    few = near.df.count() <= BROADCAST_KEYS
     # one place of each class that needs its set, gathered by document
-    places = found.join(near, "class").groupBy("class").agg(F.min(F.struct("doc_id", "first", "end")).alias("x"))
-    wanted = places.groupBy("x.doc_id").agg(F.collect_list(F.struct("class", "x.first", "x.end")).alias("wanted"))
-    marked = materialize(texts.join(wanted, "doc_id").mapInArrow(_marker(to_arrow_schema(_MARKED)), _MARKED).dropDuplicates(["doc_id"]), "paragraph-sets")
-    links = exact_links(shared, marked.select(F.col("doc_id").alias("rep"), "sketch"), lambda families: marked.select("doc_id", "shingles").join(families.select("doc_id"), "doc_id", "left_semi"))
+    places = found.select("class", "doc_id", "first", "end").join(F.broadcast(near.df) if few else near.df, "class")
+    places = places.groupBy("class").agg(F.min(F.struct("doc_id", "first", "end")).alias("x"))
+    wanted = Table(places.groupBy("x.doc_id").agg(F.collect_list(F.struct("class", "x.first", "x.end")).alias("wanted")), "wanted-paragraphs")
+    few = wanted.df.count() <= BROADCAST_KEYS // 100
+    marked = texts.join(F.broadcast(wanted.df) if few else wanted.df, "doc_id").mapInArrow(_marker(to_arrow_schema(_MARKED)), _MARKED)
+    marked = Table(marked.dropDuplicates(["doc_id"]), "paragraph-sets")
+    links = exact_links(sized, marked.df.select(F.col("doc_id").alias("rep"), "sketch"), lambda families: marked.df.select("doc_id", "shingles").join(families.select("doc_id"), "doc_id", "left_semi"))
     roots = materialize(components(links, "passages"), "passage-roots")
-
-    rooted = found.drop("bands").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component_id", F.coalesce("component", "class"))
-    leader = F.struct("doc_id", "first")
-    groups = rooted.groupBy("component_id").agg(
-        F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(leader).alias("leader"),
-    ).where("low <> high")
-    out = rooted.join(groups, "component_id")
+    for done in (mixed, shared, near, wanted, marked):
+        done.drop()
+
+    rooted = classes.df.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component_id"), "low", "high", "copies")
+    groups = rooted.groupBy("component_id").agg(F.sum("copies").alias("group_size"), F.min("low").alias("leader_doc_id"), F.max("high").alias("top")).where("leader_doc_id <> top").drop("top")
+    repeated = Table(rooted.select("class", "component_id").join(groups, "component_id"), "repeated-classes")
+    classes.drop()
+    out = found.select("doc_id", "first", "end", "class").join(repeated.df, "class")
+    # the leader is the group's first paragraph in its least document
+    leader = out.where(F.col("doc_id") == F.col("leader_doc_id")).groupBy("component_id").agg(F.min("first").alias("leader_first"))
+    out = out.join(leader, "component_id")
     return out.select(
-        "doc_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "component_id", "group_size",
-        F.col("leader.doc_id").alias("leader_doc_id"), (leader != F.col("leader")).alias("removed"),
+        "doc_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "component_id", "group_size", "leader_doc_id",
+        ((F.col("doc_id") != F.col("leader_doc_id")) | (F.col("first") != F.col("leader_first"))).alias("removed"),
     )
