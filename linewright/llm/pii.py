@@ -133,14 +133,13 @@ def _of_kind(i: int):
     return lambda x: x["k"] == i
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_found`: every candidate's start, kind (its place in KINDS), end, base and votes, in order."""
+def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all of docs) with `_found`: every candidate's start, kind (its place in KINDS), end, base and votes, in order."""
     t = F.coalesce(F.col(text), F.lit(""))
     sources = [(k, BASE[k], GATE[k], True) for k in KINDS] + [(k, LOOSE[k], GATE[f"loose_{k}"], False) for k in LOOSE]
     scanned = docs.select("*", *[scan(t, p, g).alias(f"_{'base' if b else 'loose'}_{k}") for k, p, g, b in sources])
     arrays = [F.transform(F.col(f"_{'base' if b else 'loose'}_{k}"), _judged(k, b)) for k, _, _, b in sources]
-    kept = docs.columns
-    return scanned.select(*kept, F.array_sort(F.concat(*arrays)).alias("_found"))
+    return scanned.select(*(docs.columns if keep is None else keep), F.array_sort(F.concat(*arrays)).alias("_found"))
 
 
 BALLOTS = 4
@@ -187,14 +186,15 @@ def span_classifier(table: list[tuple[int, tuple[int, ...], int]], soft: dict[tu
     return out
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (without `_found` columns of their own) with `pii`: array of start, kind, end, base, in order of start and kind.
+def find_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all of docs, but for `_found` and `pii`) with `pii`: array of start, kind, end, base, in order of start and kind.
 
     The candidates are written to the shared folder once, and read for the votes and for the result. Null and empty
     texts have no spans; repeated rows and rows without an id are found one by one. An empty table trains nothing.
     """
-    kept = [c for c in docs.columns if c not in ("_found", "pii")]
-    found = Table(candidates(docs.select(*kept), text), "pii-candidates").df
+    own = [c for c in docs.columns if c not in ("_found", "pii")]
+    kept = own if keep is None else keep
+    found = Table(candidates(docs.select(*own), text, kept), "pii-candidates").df
     ballots = [f"v{i}" for i in range(BALLOTS)]
     counted = found.select(F.explode("_found").alias("x")).select("x.k", *[f"x.{b}" for b in ballots]).groupBy("k", *ballots).agg(F.count(F.lit(1)).alias("n"))
     table = [(r["k"], tuple(r[b] for b in ballots), r["n"]) for r in counted.collect()]  # at most 4 kinds * 3 ** 4 votes
@@ -223,7 +223,7 @@ def _listed(spans: Column) -> Column:
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, for every row of docs(doc_id, text)."""
-    found = find_pii(docs.select("doc_id", "text")).drop("text")
+    found = find_pii(docs.select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("pii", lambda x: x["base"])
     counts = [F.size(F.filter(base, _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
