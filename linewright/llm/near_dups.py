@@ -106,6 +106,33 @@ def _words64(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
+def in_runs(df: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """each(rows) for the rows of every key, as a grouped function would, but in batches that short groups share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            values = [pdf[k].to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+            out = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
+                own = tuple(v[a] for v in values)
+                if own != key and held:
+                    out.append(each(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                key = own
+                held.append(pdf.iloc[a:b])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield each(pd.concat(held) if len(held) > 1 else held[0])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ties of one block of a bucket: every member to each leader like it; and the leaders, tied to themselves."""
     pdf = pdf.sort_values("rep")
@@ -206,7 +233,7 @@ def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     left = shared
     while True:
         blocks = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BUCKET_BLOCK)))
-        out = Table(blocks.join(sketches, "rep").groupBy("bucket", "block").applyInPandas(_leaders, "bucket long, a long, b long"), "ties")
+        out = Table(in_runs(blocks.join(sketches, "rep"), ["bucket", "block"], _leaders, "bucket long, a long, b long"), "ties")
         tables.append(out)
         ties = out.df.select("a", "b").where("a <> b")
         edges = ties if edges is None else edges.unionByName(ties)
@@ -238,7 +265,7 @@ def exact_links(shared: DataFrame, sketches: DataFrame, sets_of: Callable[[DataF
     placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     full = placed.join(sets, "doc_id").join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
     full = materialize(full.select("family", "blocks", "block", "doc_id", "shingles", "sketch"), "family-sets")
-    inner = materialize(full.groupBy("family", "block").applyInPandas(_within, "a long, b long"), "links")
+    inner = materialize(in_runs(full, ["family", "block"], _within, "a long, b long"), "links")
 
     links = inner.where("a <> b")
     split = full.where("blocks > 1")
