@@ -2,9 +2,10 @@
 
 1. Each text becomes the set of its distinct five-word shingles, 128 MinHash samples of it, 32 band keys of four samples
    each, and an odd sketch: a 1024-bit map in which every sample flips one bit. Texts with equal sets are one class.
-2. Within a bucket (one band key), leaders are picked greedily and every member is tied to each leader that its sketch
-   finds similar: the count of bits in the XOR of two sketches estimates how many samples differ. Large buckets are
-   dealt into blocks first and their leaders meet in a later round, so no task holds more than a block.
+2. Within a bucket (one band key), members that their sketches find similar are tied, directly or through others: the
+   count of bits in the XOR of two sketches estimates how many samples differ. Large buckets are dealt into blocks first
+   and the roots of blocks meet in later rounds; then block meets block, for members whose families are still apart, so
+   no task holds more than two blocks and no pair of a bucket is left out.
 3. The ties make families (connected components). Within a family, every pair that the sketches don't rule out and that
    isn't yet connected is checked on the full sets; large families are dealt into blocks, then block meets block.
 4. The links found make components; a document's component is the least doc_id that it reaches.
@@ -133,20 +134,48 @@ def in_runs(df: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], pd.Da
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ties of one block of a bucket: every member to each leader like it; and the leaders, tied to themselves."""
+def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ties of one block of a bucket: each member to the root of all that its sketch reaches; and the roots, tied to themselves."""
     pdf = pdf.sort_values("rep")
     ids, sketches = pdf["rep"].to_numpy(), _words64(pdf["sketch"])
     open_ = np.ones(len(ids), bool)
-    a, b = [], []
-    while open_.any():
-        lead = int(open_.argmax())
-        like = estimates(sketches[lead], sketches) >= TIE
-        like[lead] = True
-        a.append(np.full(int(like.sum()), ids[lead]))
-        b.append(ids[like])
-        open_ &= ~like
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "a": np.concatenate(a), "b": np.concatenate(b)})
+    root = ids.copy()
+    for seed in range(len(ids)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        reached = [seed]
+        while reached:
+            at = reached.pop()
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                break
+            new = rest[estimates(sketches[at], sketches[rest]) >= TIE]
+            open_[new] = False
+            root[new] = ids[seed]
+            reached += new.tolist()
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "a": root, "b": ids})
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ties between two blocks of a bucket that join families which are still apart."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        _, code = np.unique(np.concatenate([left["root"].to_numpy(), right["root"].to_numpy()]), return_inverse=True)
+        own, other = code[: len(left)].copy(), code[len(left) :].copy()
+        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
+        x, y = _words64(left["sketch"]), _words64(right["sketch"])
+        for i in range(len(a)):
+            apart = np.flatnonzero(other != own[i])
+            like = apart[estimates(x[i], y[apart]) >= TIE]
+            if len(like):
+                joined, first = np.unique(other[like], return_index=True)
+                found += [(int(a[i]), int(b[j])) for j in like[first]]
+                mine = own[i]
+                own[np.isin(own, joined)] = mine
+                other[np.isin(other, joined)] = mine
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 class _Members:
@@ -228,24 +257,43 @@ def _between(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Edges (a, b) between members of buckets and their leaders. shared: bucket, rep, n (size of the bucket)."""
-    edges, tables = None, []
-    left = shared
+    """Edges (a, b) whose components hold all members of a bucket that are like each other. shared: bucket, rep, n (size of the bucket)."""
+    edges, left, turn = None, shared, 0
     while True:
-        blocks = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BUCKET_BLOCK)))
-        out = Table(in_runs(blocks.join(sketches, "rep"), ["bucket", "block"], _leaders, "bucket long, a long, b long"), "ties")
-        tables.append(out)
+        blocks = left.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("n") / BUCKET_BLOCK)))
+        out = Table(in_runs(blocks.join(sketches, "rep"), ["bucket", "block"], _alike, "bucket long, a long, b long"), "ties")
         ties = out.df.select("a", "b").where("a <> b")
         edges = ties if edges is None else edges.unionByName(ties)
         hot = left.where(F.col("n") > BUCKET_BLOCK).select("bucket").distinct()
         again = out.df.where("a = b").join(hot, "bucket", "left_semi").select("bucket", F.col("a").alias("rep"))
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
         before = left.where(F.col("n") > BUCKET_BLOCK).groupBy("bucket").agg(F.max("n").alias("was"))
-        # leaders of a block are unlike one another; blocks of them meet until one block holds them all, or none is tied
-        left = again.join(sizes.join(before, "bucket").where("n < was").drop("was"), "bucket")
+        # roots of a block are unlike one another; blocks of them meet, dealt anew, for as long as that halves them
+        left = again.join(sizes.join(before, "bucket").where("2 * n < was").drop("was"), "bucket")
         if left.isEmpty():
-            return edges
-        left = materialize(left, "leaders")
+            break
+        left, turn = materialize(left, "roots"), turn + 1
+    return _block_ties(shared, sketches, edges)
+
+
+def _block_ties(shared: DataFrame, sketches: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with those between blocks of hot buckets. Members of a bucket's largest family so far need not meet one another."""
+    hot = shared.where(F.col("n") > BUCKET_BLOCK).select("bucket", "rep")
+    if hot.isEmpty():
+        return edges
+    roots = components(edges, "ties").select(F.col("node").alias("rep"), "component")
+    rooted = materialize(hot.join(roots, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("root")), "hot-members")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("x")).select("bucket", "n", F.col("x.root").alias("most"), (F.col("n") - F.col("x.m")).alias("others"))
+    count = lambda c: F.ceil(F.col(c) / BUCKET_BLOCK).cast("int")
+    largest = largest.where("others > 0").select("bucket", "most", count("n").alias("rows"), count("others").alias("columns"))
+    placed = rooted.join(largest, "bucket")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    one = placed.select("bucket", dealt("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "rep", "root")
+    other = placed.where("root <> most").select("bucket", every("rows").alias("i"), dealt("columns").alias("j"), F.lit(1).alias("side"), "rep", "root")
+    met = one.unionByName(other).join(sketches, "rep")
+    return edges.unionByName(materialize(in_runs(met, ["bucket", "i", "j"], _meet, "a long, b long"), "block-ties"))
 
 
 _SET = T.StructType().add("doc_id", "long").add("shingles", "binary")

@@ -82,3 +82,25 @@ def test_estimates_are_near(spark):
     own.append(np.unique(np.concatenate([own[0][:600], rng.integers(0, 2**64, 100, dtype=np.uint64)])))
     s = near_dups.odd_sketches(near_dups.min_hashes(own, near_dups._A, near_dups._B))
     assert abs(near_dups.estimates(s[0], s[1:])[0] - 0.75) < 0.15
+
+
+def test_hot_bucket_is_compared_across_blocks(spark, monkeypatch):
+    """Pairs of a bucket whose members are all unlike otherwise, and a chain whose ends are unlike."""
+    monkeypatch.setattr(near_dups, "BUCKET_BLOCK", 8)
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    own = []
+    for _ in range(30):
+        own.append(fresh(400))
+        own.append(np.concatenate([own[-1][:370], fresh(30)]))
+    for _ in range(6):
+        own.append(np.concatenate([own[-1][50:], fresh(50)]))
+    own = [np.unique(s) for s in own]
+    marks = near_dups.odd_sketches(near_dups.min_hashes(own, near_dups._A, near_dups._B))
+    rows = [(i, bytearray(s.tobytes()), bytearray(m.tobytes())) for i, (s, m) in enumerate(zip(own, marks, strict=True))]
+    table = spark.createDataFrame(rows, "doc_id long, shingles binary, sketch binary").cache()
+    shared = table.selectExpr("7L AS bucket", "doc_id AS rep", f"{len(rows)}L AS n")
+    links = near_dups.exact_links(shared, table.selectExpr("doc_id AS rep", "sketch"), lambda f: table.select("doc_id", "shingles").join(f.select("doc_id"), "doc_id", "left_semi"))
+    root = {r["node"]: r["component"] for r in near_dups.components(links).collect()}
+    assert all(root.get(2 * i) == 2 * i == root.get(2 * i + 1) for i in range(30))
+    assert {root.get(i) for i in range(58, 66)} == {58}
