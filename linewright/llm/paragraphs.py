@@ -3,9 +3,9 @@
 A passage may be put anywhere in a text, so paragraphs are not lines: a word whose hash is the least within REACH words
 on both sides is a boundary, and a paragraph runs from one boundary to the first that is at least LEAST_WORDS further
 on. Where boundaries lie depends on nearby words only, so a passage that is long enough is cut alike in every text.
-Each paragraph has two bands of one MinHash each, for high recall; equal paragraphs are one class, classes that share a
-band are joined through leaders and checked on their full shingle sets (Jaccard of 0.75 and more), and what is linked
-makes components. Of each component that spans several documents the first paragraph stays; the others are removals.
+Each paragraph has as many bands as it takes for no pair to be missed: of n distinct shingles the n - ceil(0.75 n) + 1
+of least hash, of which two sets at a Jaccard of 0.75 or more always share one. Equal paragraphs are one class, classes
+that share a band are tied by their sketches and checked on their full shingle sets, and what is linked makes components. Of each component that spans several documents the first paragraph stays; the others are removals.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from pyspark.sql import types as T
 
 from linewright.llm._common import slices, space_words
 from linewright.llm.components import components
-from linewright.llm.near_dups import _A, _B, _SET, SHINGLE, exact_links, odd_sketches
+from linewright.llm.near_dups import _A, _B, _SET, PERCENT, SHINGLE, exact_links, odd_sketches
 from linewright.llm.shingles import _powers, min_hashes, mix
 from linewright.plans.lineage import Table, materialize, ship_package
 
 REACH, LEAST_WORDS = 5, 12
 #: Distinct-looking shingles that a paragraph must have: runs of one word are no passages.
 LEAST_SHINGLES = 8
-BANDS = 2
 #: Keys that may be broadcast, at most; a larger table is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 2 << 20
@@ -60,8 +59,8 @@ def boundaries(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.flatnonzero(least), [n]]))
 
 
-def cut(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of each paragraph: first word, word after the last, class (hash of its words) and band keys (columns)."""
+def cut(words: list[bytes]) -> tuple[np.ndarray, ...] | None:
+    """Of each paragraph: first word, word after the last, class (hash of its words) and count of bands; then all bands in turn."""
     n = len(words)
     if n < LEAST_WORDS:
         return None
@@ -78,17 +77,24 @@ def cut(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first, end, last = first[many], end[many], last[many]
     if not len(first):
         return None
-    pairs = np.stack([first, last], axis=1).ravel()
-    keys = []
-    for b in range(BANDS):
-        values = np.append(shingles * _A[b] + _B[b], np.uint64(2**64 - 1))
-        keys.append(mix(np.minimum.reduceat(values, pairs)[::2] + np.uint64(b)))
-    return first, end, text.runs(first, end - 1), np.stack(keys, axis=1)
-
-
-_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long")
-for _b in range(BANDS):
-    _CUT = _CUT.add(f"band{_b}", "long")
+    # the shingles of each paragraph in order of hash and place, each hash once
+    order = np.argsort(shingles, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    size = last - first
+    place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+    sorted_ = np.sort(np.repeat(np.arange(len(first)), size) * len(order) + rank[place])
+    owner, place = sorted_ // len(order), order[sorted_ % len(order)]
+    hashes = shingles[place]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+    owner, hashes, place = owner[new], hashes[new], place[new]
+    distinct = np.bincount(owner, minlength=len(first))
+    bands = distinct - (PERCENT * distinct + 99) // 100 + 1
+    least = np.arange(len(owner)) - np.repeat(np.cumsum(distinct) - distinct, distinct) < bands[owner]
+    return first, end, text.runs(first, end - 1), bands, hashes[least]
+
+
+_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long").add("bands", T.ArrayType(T.LongType(), False))
 
 
 def _cutter(schema: pa.Schema):
@@ -100,10 +106,11 @@ def _cutter(schema: pa.Schema):
                     found.append(one)
                     ids.append(np.full(len(one[0]), d))
             if found:
-                first, end, class_, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+                first, end, class_, bands, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(bands)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(ids)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
-                    pa.array(class_.view(np.int64)), *[pa.array(np.ascontiguousarray(keys[:, b]).view(np.int64)) for b in range(BANDS)],
+                    pa.array(class_.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))).cast(schema.field("bands").type),
                 ], schema=schema)
 
     return run
@@ -144,12 +151,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(texts.mapInArrow(_cutter(to_arrow_schema(_CUT)), _CUT), "paragraphs")
-    bands = [f"band{b}" for b in range(BANDS)]
-    classes = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies"), *[F.min(b).alias(b) for b in bands])
+    classes = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = Table(classes, "paragraph-classes")
 
     # overlapping paragraphs of one text, and of its exact copies, share bands too: such classes have the same places
-    keyed = classes.df.select(F.explode(F.array(*bands)).alias("bucket"), F.col("class").alias("rep"), F.xxhash64("low", "high", "copies").alias("places"))
+    keyed = classes.df.select(F.explode("bands").alias("bucket"), F.col("class").alias("rep"), F.xxhash64("low", "high", "copies").alias("places"))
     mixed = Table(keyed.groupBy("bucket").agg(F.min("places").alias("a"), F.max("places").alias("b")).where("a <> b").select("bucket"), "mixed-buckets")
     few = mixed.df.count() <= BROADCAST_KEYS
     shared = Table(keyed.join(F.broadcast(mixed.df) if few else mixed.df, "bucket").select("bucket", "rep").distinct(), "shared-paragraphs")

@@ -64,3 +64,37 @@ def test_table_against_brute_force(spark):
 
 def test_empty(spark):
     assert paragraphs.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def alike(docs):
+    """Pairs of paragraphs (doc, first, end) at a Jaccard of 0.75 or more that don't overlap in a document."""
+    of, all_, out = defaultdict(list), [], []
+    for d, t in docs:
+        w = space_words(t)
+        found = paragraphs.cut(w)
+        for a, b in zip(found[0].tolist(), found[1].tolist(), strict=True) if found else ():
+            all_.append(((d, a, b), frozenset(tuple(w[i : i + 5]) for i in range(a, b - 4))))
+            for x in all_[-1][1]:
+                of[x].append(len(all_) - 1)
+    for i, (p, s) in enumerate(all_):
+        for q, t in (all_[j] for j in {j for x in s for j in of[x] if j < i}):
+            if 100 * len(s & t) >= 75 * len(s | t) and (p[0] != q[0] or p[2] <= q[1] or q[2] <= p[1]):
+                out.append((p, q))
+    return out
+
+
+def found(spark, docs):
+    rows = paragraphs.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {(r["doc_id"], r["first_word"], r["end_word"]): r["component_id"] for r in rows}
+
+
+def test_no_near_pair_is_missed(spark):
+    rng = random.Random(5)
+    docs = []
+    for i in range(250):
+        words = [f"w{rng.randrange(30000)}" for _ in range(160)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(f"e{i}x{k}" if k % 40 == 20 else w for k, w in enumerate(words)))]
+    pairs, got = alike(docs), found(spark, docs)
+    edited = lambda p: any(w[0] == "e" for w in docs[p[0]][1].split()[p[1] : p[2]])
+    near = [(p, q) for p, q in pairs if edited(p) != edited(q)]
+    assert len(near) > 30 and all(got.get(p) is not None and got.get(p) == got.get(q) for p, q in near)
