@@ -30,6 +30,9 @@ LEAST_SHINGLES = 8
 #: Keys that may be broadcast, at most; a larger table is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 2 << 20
+#: Places are told by powers of the generator of a prime field: moving all places of a class is one multiplication.
+PRIME, GENERATOR = 2**31 - 1, 7
+MARK = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Words:
@@ -49,6 +52,15 @@ class Words:
         return mix((self.prefix[self.ends[last]] - self.prefix[s]) * self.down[s])
 
 
+def turns(k: np.ndarray) -> np.ndarray:
+    """GENERATOR ** k modulo PRIME, by squaring."""
+    out, base = np.ones(len(k), np.int64), GENERATOR
+    for bit in range(int(k.max(initial=0)).bit_length()):
+        out = np.where(k >> bit & 1, out * base % PRIME, out)
+        base = base * base % PRIME
+    return out
+
+
 def boundaries(hashes: np.ndarray) -> np.ndarray:
     """0, the places of local minima, and the count of words."""
     n = len(hashes)
@@ -60,7 +72,7 @@ def boundaries(hashes: np.ndarray) -> np.ndarray:
 
 
 def cut(words: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """Of each paragraph: first word, word after the last, class (hash of its words) and count of bands; then all bands in turn."""
+    """Of each paragraph: first word, word after the last, class (hash of its words) and count of bands; then all bands in turn, and where in its paragraph each is."""
     n = len(words)
     if n < LEAST_WORDS:
         return None
@@ -91,10 +103,11 @@ def cut(words: list[bytes]) -> tuple[np.ndarray, ...] | None:
     distinct = np.bincount(owner, minlength=len(first))
     bands = distinct - (PERCENT * distinct + 99) // 100 + 1
     least = np.arange(len(owner)) - np.repeat(np.cumsum(distinct) - distinct, distinct) < bands[owner]
-    return first, end, text.runs(first, end - 1), bands, hashes[least]
+    return first, end, text.runs(first, end - 1), bands, hashes[least], (place - first[owner])[least]
 
 
-_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long").add("bands", T.ArrayType(T.LongType(), False))
+_CUT = T.StructType().add("doc_id", "long").add("first", "integer").add("end", "integer").add("class", "long").add("mark", "long")
+_CUT = _CUT.add("bands", T.ArrayType(T.LongType(), False)).add("turns", T.ArrayType(T.IntegerType(), False))
 
 
 def _cutter(schema: pa.Schema):
@@ -106,11 +119,14 @@ def _cutter(schema: pa.Schema):
                     found.append(one)
                     ids.append(np.full(len(one[0]), d))
             if found:
-                first, end, class_, bands, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+                first, end, class_, bands, keys, inside = (np.concatenate(x) for x in zip(*found, strict=True))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(bands)]).astype(np.int32))
+                ids_ = np.concatenate(ids)
+                mark = (mix(ids_.astype(np.int64).view(np.uint64) ^ MARK) % np.uint64(PRIME)).astype(np.int64) * turns(first) % PRIME
+                lists = [pa.array(keys.view(np.int64)), pa.array(turns(inside).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(ids)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
-                    pa.array(class_.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))).cast(schema.field("bands").type),
+                    pa.array(ids_), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)),
+                    pa.array(class_.view(np.int64)), pa.array(mark), *[pa.ListArray.from_arrays(offsets, x).cast(schema.field(c).type) for c, x in zip(("bands", "turns"), lists, strict=True)],
                 ], schema=schema)
 
     return run
@@ -151,11 +167,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(texts.mapInArrow(_cutter(to_arrow_schema(_CUT)), _CUT), "paragraphs")
-    classes = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("copies"), F.pmod(F.sum("mark"), F.lit(PRIME)).alias("mark"), F.first(F.struct("bands", "turns")).alias("x"))
     classes = Table(classes, "paragraph-classes")
 
-    # overlapping paragraphs of one text, and of its exact copies, share bands too: such classes have the same places
-    keyed = classes.df.select(F.explode("bands").alias("bucket"), F.col("class").alias("rep"), F.xxhash64("low", "high", "copies").alias("places"))
+    # overlapping paragraphs of one text, and of its exact copies, share bands too: the shared shingle is then the same
+    # one everywhere. `places` tells the documents and places of a band's shingle over all copies of a class
+    keyed = classes.df.select("class", "low", "high", "copies", "mark", F.explode(F.arrays_zip("x.bands", "x.turns")).alias("b"))
+    keyed = keyed.select(F.col("b.bands").alias("bucket"), F.col("class").alias("rep"), F.xxhash64("low", "high", "copies", F.pmod(F.col("mark") * F.col("b.turns"), F.lit(PRIME))).alias("places"))
     mixed = Table(keyed.groupBy("bucket").agg(F.min("places").alias("a"), F.max("places").alias("b")).where("a <> b").select("bucket"), "mixed-buckets")
     few = mixed.df.count() <= BROADCAST_KEYS
     shared = Table(keyed.join(F.broadcast(mixed.df) if few else mixed.df, "bucket").select("bucket", "rep").distinct(), "shared-paragraphs")

@@ -98,3 +98,17 @@ def test_no_near_pair_is_missed(spark):
     edited = lambda p: any(w[0] == "e" for w in docs[p[0]][1].split()[p[1] : p[2]])
     near = [(p, q) for p, q in pairs if edited(p) != edited(q)]
     assert len(near) > 30 and all(got.get(p) is not None and got.get(p) == got.get(q) for p, q in near)
+
+
+def test_similar_passages_with_the_same_documents_are_linked(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(0, 40, 2):
+        word = lambda: f"w{rng.randrange(30000)}"
+        passage = [word() for _ in range(120)]
+        words = [*passage, *[word() for _ in range(30)], *[word() if k % 40 == 20 else w for k, w in enumerate(passage)]]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(words))]
+    pairs, got = alike(docs), found(spark, docs)
+    text = {d: t.split() for d, t in docs}
+    near = [(p, q) for p, q in pairs if text[p[0]][p[1] : p[2]] != text[q[0]][q[1] : q[2]] and p[0] != q[0] and abs(p[1] - q[1]) > 100]
+    assert len(near) > 10 and all(got.get(p) is not None and got.get(p) == got.get(q) for p, q in near)
