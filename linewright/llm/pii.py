@@ -30,8 +30,8 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+(])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: What a text must hold for a scan to be worth while.
-GATE = {"email": "@", "ip": ".", "card": "", "phone": "+", "loose_email": "at", "loose_phone": "-"}
+#: What a text must hold for a scan to be worth while; where it is empty, a match.
+GATE = {"email": "@", "ip": ".", "card": "", "phone": "+", "loose_email": "at", "loose_phone": ""}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LEFT = 40
 # Gazetteers and cues of the labelers.

@@ -77,3 +77,10 @@ def test_reliability_follows_agreement():
     soft = pii.expectation_maximisation(table)
     w = pii.span_classifier(table, soft)[0]
     assert soft[0, (1, 1, 0, 1)] > 0.9 and soft[0, (-1, -1, 0, -1)] < 0.1 and w[0] > 0 and w[1] > 0
+
+
+def test_loose_phones_need_no_hyphen(spark):
+    texts = ["call 212 555 0147 now", "phone 212.555.0147", "tel (212) 555 0147", "(212)555 0147", "call 212-555-0147", "nothing"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).collect()
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["_found"] if x["k"] == 3] for r in rows}
+    assert got == {0: [(5, 17)], 1: [(6, 18)], 2: [(4, 18)], 3: [(0, 13)], 4: [(5, 17)], 5: []}
