@@ -51,7 +51,15 @@ def representative(lines: DataFrame, topics: DataFrame, by: list[str], kind: str
     return best.select(*by, (-F.col("b.first")).alias("line_id"), F.col("b.score").cast("long").alias("score"), F.col("b.text").alias("text"))
 
 
-def lda_topics(docs: DataFrame, k: int, top: int = 10, text: str = "text", rounds: int = 5, vocabulary: int = 2000) -> DataFrame:
+def _bag(words: DataFrame, vocabulary: int | None):
+    """Counts of all words, or of the `vocabulary` most frequent. The model's words (times topics) must fit the driver."""
+    from pyspark.ml.feature import CountVectorizer
+
+    size = vocabulary or max(1, words.select(F.explode("words").alias("word")).distinct().count())
+    return CountVectorizer(inputCol="words", outputCol="features", vocabSize=size).fit(words)
+
+
+def lda_topics(docs: DataFrame, k: int, top: int = 10, text: str = "text", rounds: int = 5, vocabulary: int | None = None) -> DataFrame:
     """topic, rank, word and weight. One topic is the ranking by smoothed frequency, which is what it comes down to."""
     words = docs.select(F.col(text), word_tokens(F.col(text)).alias("words"))
     if k == 1:
@@ -60,23 +68,21 @@ def lda_topics(docs: DataFrame, k: int, top: int = 10, text: str = "text", round
         place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # over `top` rows
         return ranked.select(F.lit(0).cast("long").alias("topic"), place.cast("long").alias("rank"), "word", ((F.col("n") + 1) / (F.col("all") + F.col("v"))).alias("weight"))
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
 
-    bag = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words)
+    bag = _bag(words, vocabulary)
     model = LDA(k=k, maxIter=rounds, seed=7).fit(bag.transform(words))
-    terms = docs.sparkSession.createDataFrame(list(enumerate(bag.vocabulary)), "term int, word string")  # at most `vocabulary` rows
+    terms = docs.sparkSession.createDataFrame(list(enumerate(bag.vocabulary)), "term int, word string")  # a row for each word of the model
     each = model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
     return each.join(terms, F.col("x.termIndices") == F.col("term")).select(F.col("topic").cast("long").alias("topic"), (F.col("rank") + 1).cast("long").alias("rank"), "word", F.col("x.termWeights").alias("weight"))
 
 
-def topic_mix(docs: DataFrame, key: str, k: int, text: str = "text", rounds: int = 5, vocabulary: int = 2000) -> DataFrame:
+def topic_mix(docs: DataFrame, key: str, k: int, text: str = "text", rounds: int = 5, vocabulary: int | None = None) -> DataFrame:
     """key and mix, each document's shares of k topics."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     words = docs.select(key, word_tokens(F.col(text)).alias("words"))
-    ready = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words).transform(words)
+    ready = _bag(words, vocabulary).transform(words)
     return LDA(k=k, maxIter=rounds, seed=7).fit(ready).transform(ready).select(key, vector_to_array("topicDistribution").alias("mix"))
 
 

@@ -116,3 +116,11 @@ def test_weights_are_checked_and_zero_weights_pruned(spark):
     with pytest.raises(ValueError):
         distances.vector_distance("none")
     assert experiments.preference_trial(0.25, 0.5) == (0.25, 0.375, 0.375)
+
+
+def test_topics_hold_all_words(spark):
+    from linewright.operators import topics
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{100 * i + j}" for j in range(100))) for i in range(25)], "doc_id long, text string").coalesce(2)
+    rows = topics.lda_topics(docs, 2, top=3000, rounds=1).collect()
+    assert len({r["word"] for r in rows}) == 2500 and len(rows) == 5000
