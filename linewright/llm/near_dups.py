@@ -1,16 +1,17 @@
 """MinHash near-duplicates with odd sketches.
 
 1. Each text becomes the set of its distinct five-word shingles, 128 MinHash samples of it, 32 band keys of four samples
-   each, and an odd sketch: a 1024-bit map in which every sample flips one bit. Texts with equal sets are one class.
-2. Within a bucket (one band key), members that their sketches find similar are tied, directly or through others: the
-   count of bits in the XOR of two sketches estimates how many samples differ. Large buckets are dealt into blocks first
-   and the roots of blocks meet in later rounds; then block meets block, for members whose families are still apart, so
-   no task holds more than two blocks and no pair of a bucket is left out.
+   each, and an odd sketch: a 1024-bit map in which every sample flips one bit. Texts with equal sets are one class, told
+   by a hash of the set.
+2. Within a bucket (one band key), classes that their sketches find similar are tied, directly or through others: the
+   count of bits in the XOR of two sketches estimates how many samples differ. Large buckets are dealt into blocks; then
+   block meets block, for classes whose families are still apart, so no task holds more than two blocks and no pair of a
+   bucket is left out.
 3. The ties make families (connected components). Within a family, every pair that the sketches don't rule out and that
-   isn't yet connected is checked on the full sets; large families are dealt into blocks, then block meets block.
+   isn't yet connected is checked on the full sets; large families are dealt into blocks, and block meets block as above.
 4. The links found make components; a document's component is the least doc_id that it reaches.
 
-No step emits the pairs of a group: each row out of a task is a member's tie or a link that joins two components.
+No step emits the pairs of a group: each row out of a task is a class's tie or a link that joins two components.
 """
 
 from __future__ import annotations
@@ -20,23 +21,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewright.llm._common import slices, space_words
+from linewright.llm._common import released, slices
 from linewright.llm.components import components
-from linewright.llm.shingles import min_hashes, mix, shingle_sets
+from linewright.llm.groups import group_roots, ties, whole_groups
+from linewright.llm.shingles import min_hashes, mix, shingle_sets, text_words
 from linewright.plans.lineage import Table, materialize, ship_package
 
 SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 1024
-#: Estimates below these are no ties in a bucket, and no candidates in a family: at a similarity of 0.75 an estimate
-#: has a standard deviation of about 0.05.
-TIE, CANDIDATE = 0.4, 0.5
+#: An estimate below this is no tie in a bucket and no candidate in a family: at a similarity of 0.75 an estimate has a
+#: standard deviation of about 0.05.
+CANDIDATE = 0.5
 #: Members of a bucket in a block; members and shingles of a family in a block.
-BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2048, 2000, 4_000_000
-SLICE_BYTES = 2 << 20
+BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2048, 2000, 2_000_000
+#: A full block, in the units that members' sizes are added up in.
+FULL = 1_000_000_000
+SLICE_BYTES = 1 << 20
+#: Pairs of sketches that are compared at once.
+PAIRS = 20_000
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64)
@@ -65,40 +71,49 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-_SIGNATURE = T.StructType().add("doc_id", "long").add("n_shingles", "long").add("set_a", "long").add("set_b", "long").add("bands", T.ArrayType(T.LongType(), False)).add("sketch", "binary")
+def classes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set; no set is empty."""
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    flat = np.concatenate(sets)
+    sizes = np.array([len(s) for s in sets], np.uint64)
+    return mix(np.add.reduceat(flat, starts) + mix(np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), starts) + sizes))
+
+
+_SIGNATURE = T.StructType().add("doc_id", "long").add("n_shingles", "long").add("rep", "long").add("bands", T.ArrayType(T.LongType(), False)).add("sketch", "binary")
 
 
 def _signatures(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            sets = shingle_sets([space_words(t) for t in part.column("text").to_pylist()], SHINGLE)
+            sets = shingle_sets(*text_words(part.column("text")), SHINGLE)
             full = [i for i, s in enumerate(sets) if len(s)]
-            n = len(sets)
-            keys, marks = np.zeros((n, 2), np.uint64), [None] * n
-            bands: list = [None] * n
+            classes: list = [None] * len(sets)
+            bands: list = [None] * len(sets)
+            marks: list = [None] * len(sets)
             if full:
                 own = [sets[i] for i in full]
                 samples = min_hashes(own, _A, _B)
-                starts = np.concatenate([[0], np.cumsum([len(s) for s in own])[:-1]])
-                flat = np.concatenate(own)
-                keys[full, 0] = np.add.reduceat(flat, starts)
-                keys[full, 1] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                for i, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples), strict=True):
-                    bands[i], marks[i] = b, s.tobytes()
+                for i, c, b, s in zip(full, classes_of(own).view(np.int64).tolist(), band_keys(samples).view(np.int64), odd_sketches(samples), strict=True):
+                    classes[i], bands[i], marks[i] = c, b, s.tobytes()
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)),
+                part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())).cast(schema.field("bands").type), pa.array(marks, pa.binary()),
             ], schema=schema)
 
     return run
 
 
+_SET = T.StructType().add("rep", "long").add("shingles", "binary")
+
+
 def _shingles(schema: pa.Schema):
+    """Class and set of each text that has one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            sets = shingle_sets([space_words(t) for t in part.column("text").to_pylist()], SHINGLE)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sets = [s for s in shingle_sets(*text_words(part.column("text")), SHINGLE) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(classes_of(sets).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
@@ -134,27 +149,24 @@ def in_runs(df: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], pd.Da
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ties of one block of a bucket: each member to the root of all that its sketch reaches; and the roots, tied to themselves."""
-    pdf = pdf.sort_values("rep")
-    ids, sketches = pdf["rep"].to_numpy(), _words64(pdf["sketch"])
-    open_ = np.ones(len(ids), bool)
-    root = ids.copy()
-    for seed in range(len(ids)):
-        if not open_[seed]:
-            continue
-        open_[seed] = False
-        reached = [seed]
-        while reached:
-            at = reached.pop()
-            rest = np.flatnonzero(open_)
-            if not len(rest):
-                break
-            new = rest[estimates(sketches[at], sketches[rest]) >= TIE]
-            open_[new] = False
-            root[new] = ids[seed]
-            reached += new.tolist()
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "a": root, "b": ids})
+_TIE = T.StructType().add("a", "long").add("b", "long")
+
+
+def _alike(schema: pa.Schema):
+    """Ties of buckets, or blocks of them: each member to the first that its sketch reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 2048):
+            sketches = _words64(batch.column(2).to_pylist())
+
+            def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                parts = [estimates(sketches[i[a : a + PAIRS]], sketches[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]
+                return np.concatenate([*parts, np.zeros(0)]) >= CANDIDATE
+
+            like = lambda one, a, n: estimates(sketches[one], sketches[a : a + n]) >= CANDIDATE
+            yield from ties(batch, group_roots(batch.column(0).to_numpy(), alike, like), schema)
+
+    return run
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +180,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = _words64(left["sketch"]), _words64(right["sketch"])
         for i in range(len(a)):
             apart = np.flatnonzero(other != own[i])
-            like = apart[estimates(x[i], y[apart]) >= TIE]
+            like = apart[estimates(x[i], y[apart]) >= CANDIDATE]
             if len(like):
                 joined, first = np.unique(other[like], return_index=True)
                 found += [(int(a[i]), int(b[j])) for j in like[first]]
@@ -182,7 +194,7 @@ class _Members:
     """Sets and sketches of a block's members. Hashes are numbered once, so that a set is checked by marks, not searches."""
 
     def __init__(self, pdf: pd.DataFrame):
-        self.ids = pdf["doc_id"].to_numpy()
+        self.ids = pdf["rep"].to_numpy()
         self.sketches = _words64(pdf["sketch"])
         self.sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
@@ -209,7 +221,7 @@ class _Members:
 
 def _within(pdf: pd.DataFrame) -> pd.DataFrame:
     """Exact components of one block of a family: each member tied to the block's root of it."""
-    m = _Members(pdf.sort_values("doc_id"))
+    m = _Members(pdf.sort_values("rep"))
     open_ = np.ones(len(m.ids), bool)
     root = m.ids.copy()
     for seed in range(len(m.ids)):
@@ -228,7 +240,7 @@ def _within(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _between(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between two blocks of a family that join components which are still apart."""
-    pdf = pdf.sort_values("doc_id")
+    pdf = pdf.sort_values("rep")
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     parent = {r: r for r in pdf["root"]}
 
@@ -256,113 +268,118 @@ def _between(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def filling(share: Column) -> Column:
+    """The share of a block as a whole number, so that sums don't depend on their order."""
+    return F.ceil(share * FULL).cast("long")
+
+
+def meet_blocks(members: DataFrame, payload: DataFrame, edges: DataFrame, meet: Callable[[pd.DataFrame], pd.DataFrame], size: Column) -> DataFrame:
+    """The edges with those that meet(rows) finds between blocks of buckets, for members whose roots differ.
+
+    members: bucket, rep and root (of what is known to belong together); payload: rep and what meet needs; size: the
+    billionths of a block that a member fills. Members of a bucket's largest root need not meet one another, so every other member
+    meets every block. meet gets side 0 (a block of all) and side 1 (a block of the others).
+    """
+    members = materialize(members.withColumn("size", size), "hot-members")
+    sizes = members.groupBy("bucket", "root").agg(F.sum("size").alias("s"))
+    largest = sizes.groupBy("bucket").agg(F.sum("s").alias("all"), F.max(F.struct("s", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    count = lambda c: F.ceil(c / FULL).cast("int")
+    largest = largest.select("bucket", F.col("x.root").alias("most"), count(F.col("all")).alias("rows"), count(F.col("all") - F.col("x.s")).alias("columns"))
+    placed = members.join(largest, "bucket")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    one = placed.select("bucket", dealt("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "rep", "root")
+    other = placed.where("root <> most").select("bucket", every("rows").alias("i"), dealt("columns").alias("j"), F.lit(1).alias("side"), "rep", "root")
+    met = one.unionByName(other).join(payload, "rep")
+    return edges.unionByName(materialize(in_runs(met, ["bucket", "i", "j"], meet, "a long, b long"), "block-links"))
+
+
 def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """Edges (a, b) whose components hold all members of a bucket that are like each other. shared: bucket, rep, n (size of the bucket)."""
-    edges, left, turn = None, shared, 0
-    while True:
-        blocks = left.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("n") / BUCKET_BLOCK)))
-        out = Table(in_runs(blocks.join(sketches, "rep"), ["bucket", "block"], _alike, "bucket long, a long, b long"), "ties")
-        ties = out.df.select("a", "b").where("a <> b")
-        edges = ties if edges is None else edges.unionByName(ties)
-        hot = left.where(F.col("n") > BUCKET_BLOCK).select("bucket").distinct()
-        again = out.df.where("a = b").join(hot, "bucket", "left_semi").select("bucket", F.col("a").alias("rep"))
-        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        before = left.where(F.col("n") > BUCKET_BLOCK).groupBy("bucket").agg(F.max("n").alias("was"))
-        # roots of a block are unlike one another; blocks of them meet, dealt anew, for as long as that halves them
-        left = again.join(sizes.join(before, "bucket").where("2 * n < was").drop("was"), "bucket")
-        if left.isEmpty():
-            break
-        left, turn = materialize(left, "roots"), turn + 1
-    return _block_ties(shared, sketches, edges)
-
-
-def _block_ties(shared: DataFrame, sketches: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges with those between blocks of hot buckets. Members of a bucket's largest family so far need not meet one another."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    # a member is in another block in each of its buckets, so what is alike finds together at once, as a rule
+    block = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / BUCKET_BLOCK))
+    blocks = shared.select(F.when(F.col("n") > BUCKET_BLOCK, F.xxhash64("bucket", block)).otherwise(F.col("bucket")).alias("block"), "rep")
+    dealt = blocks.join(sketches, "rep").select("block", "rep", "sketch").repartition("block").sortWithinPartitions("block")
+    edges = materialize(dealt.mapInArrow(released(_alike(to_arrow_schema(_TIE))), _TIE), "ties")
     hot = shared.where(F.col("n") > BUCKET_BLOCK).select("bucket", "rep")
     if hot.isEmpty():
         return edges
-    roots = components(edges, "ties").select(F.col("node").alias("rep"), "component")
-    rooted = materialize(hot.join(roots, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("root")), "hot-members")
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("x")).select("bucket", "n", F.col("x.root").alias("most"), (F.col("n") - F.col("x.m")).alias("others"))
-    count = lambda c: F.ceil(F.col(c) / BUCKET_BLOCK).cast("int")
-    largest = largest.where("others > 0").select("bucket", "most", count("n").alias("rows"), count("others").alias("columns"))
-    placed = rooted.join(largest, "bucket")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    one = placed.select("bucket", dealt("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "rep", "root")
-    other = placed.where("root <> most").select("bucket", every("rows").alias("i"), dealt("columns").alias("j"), F.lit(1).alias("side"), "rep", "root")
-    met = one.unionByName(other).join(sketches, "rep")
-    return edges.unionByName(materialize(in_runs(met, ["bucket", "i", "j"], _meet, "a long, b long"), "block-ties"))
+    return meet_blocks(rooted(hot, edges), sketches, edges, _meet, filling(F.lit(1 / BUCKET_BLOCK)))
 
 
-_SET = T.StructType().add("doc_id", "long").add("shingles", "binary")
+def rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with root, the component of rep."""
+    roots = components(edges, "roots").select(F.col("node").alias("rep"), "component")
+    return members.join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep")).drop("component")
 
 
 def exact_links(shared: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) whose components are those of all links between members that share a bucket.
 
-    shared: bucket, rep and n (members of the bucket); sketches: rep and sketch; sets_of: for a table with a doc_id
-    column (reps that are in a family), their doc_id and shingles (sorted distinct 64-bit hashes, as bytes).
+    shared: bucket, rep and n (members of the bucket); sketches: rep and sketch; sets_of: for a table of reps (those in a
+    family), their rep and shingles (sorted distinct 64-bit hashes, as bytes).
     """
-    families = materialize(components(_ties(shared, sketches), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-    sets = materialize(sets_of(families), "sets")
-    load = sets.groupBy("doc_id").agg(F.max(F.length("shingles") / 8).alias("size"))
-    counts = families.join(load, "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    blocks = counts.select("family", F.ceil(F.greatest(F.col("n") / FAMILY_BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    full = placed.join(sets, "doc_id").join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
-    full = materialize(full.select("family", "blocks", "block", "doc_id", "shingles", "sketch"), "family-sets")
-    inner = materialize(in_runs(full, ["family", "block"], _within, "a long, b long"), "links")
-
-    links = inner.where("a <> b")
-    split = full.where("blocks > 1")
+    families = materialize(components(_ties(shared, sketches), "families").select(F.col("node").alias("rep"), F.col("component").alias("bucket")), "families")
+    sets = materialize(sets_of(families.select("rep")), "sets")
+    load = filling(F.greatest(F.lit(1 / FAMILY_BLOCK), F.length("shingles") / (8 * BLOCK_SHINGLES)))
+    sized = materialize(families.join(sets.select("rep", load.alias("load")), "rep"), "sized-families")
+    blocks = sized.groupBy("bucket").agg(F.ceil(F.sum("load") / FULL).cast("int").alias("blocks"))
+    placed = sized.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    payload = sets.join(sketches, "rep")
+    inner = in_runs(placed.select("bucket", "block", "rep").join(payload, "rep"), ["bucket", "block"], _within, "a long, b long")
+    links = materialize(inner, "links")
+    split = placed.where("blocks > 1").select("bucket", "rep", "load")
     if split.isEmpty():
         return links
-    rooted = split.join(inner.select(F.col("a").alias("root"), F.col("b").alias("doc_id")).distinct(), "doc_id")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    met = rooted.withColumn("other", other).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "root", "shingles", "sketch",
-    )
-    return links.unionByName(materialize(met.groupBy("family", "i", "j").applyInPandas(_between, "a long, b long"), "block-links"))
+    return meet_blocks(rooted(split, links), payload, links, _between, F.col("load"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id long, text string).
 
     Null and empty texts have an empty set and are linked with nothing. Rows that share a doc_id are one document with
-    each of their texts. A row without a doc_id takes no part: its component_id is null and it is kept. Other columns
-    are ignored. An empty table gives an empty table.
+    each of their texts: what any of them is linked with is linked with all. A row without a doc_id takes no part: its
+    component_id is null and it is kept. Texts of any length are taken whole; of tied members the least doc_id names the
+    component. Other columns are ignored, whatever their names. An empty table gives an empty table.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(texts.mapInArrow(_signatures(to_arrow_schema(_SIGNATURE)), _SIGNATURE), "signatures")
+    signed = materialize(texts.mapInArrow(released(_signatures(to_arrow_schema(_SIGNATURE))), _SIGNATURE), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    copies = materialize(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
-    reps = usable.join(copies, ["set_a", "set_b", "n_shingles"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("rep"), "bands", "sketch")
+    copies = materialize(usable.groupBy("rep").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
+    # one row of each class: its only one, or one of its least document
+    told = usable.join(copies, "rep", "left").select("rep", "doc_id", "low", "bands", "sketch")
+    reps = told.where("low is null").unionByName(told.where("low = doc_id").dropDuplicates(["rep"])).drop("low")
 
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(members.join(sizes, "bucket"), "shared-buckets")
-    involved = shared.select("rep").distinct()
-    sketches = materialize(signed.select(F.col("doc_id").alias("rep"), "sketch").join(involved, "rep", "left_semi").where("sketch is not null").dropDuplicates(["rep"]), "sketches")
+    involved = materialize(reps.select("rep", "doc_id", "sketch").join(shared.select("rep").distinct(), "rep", "left_semi"), "sketches")
+
     def sets_of(families: DataFrame) -> DataFrame:
-        wanted = texts.join(families.select("doc_id"), "doc_id", "left_semi")
-        sets = wanted.mapInArrow(_shingles(to_arrow_schema(_SET)), _SET)
-        return sets.where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"])
-
-    links = exact_links(shared, sketches, sets_of)
-    # a class is linked through its representative; ids with several rows tie the classes of their texts together
-    classed = signed.join(copies, ["set_a", "set_b", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    several = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = classed.where("n_shingles > 0").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links.unionByName(own), "near")
-    out = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    root = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
+        ids = involved.join(families, "rep", "left_semi").select("doc_id").distinct()
+        sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(released(_shingles(to_arrow_schema(_SET))), _SET)
+        return sets.join(families, "rep", "left_semi").dropDuplicates(["rep"])
+
+    links = exact_links(shared, involved.select("rep", "sketch"), sets_of)
+    # documents with several texts tie the classes of these together
+    several = usable.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("doc_id")
+    tied = usable.join(several, "doc_id").select("doc_id", "rep")
+    own = tied.join(tied.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+    roots = materialize(components(links.unionByName(own), "near").withColumnRenamed("node", "rep"), "near-roots")
+    least = usable.select("rep", "doc_id").join(roots, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = roots.join(least, "component").select("rep", "component_id")
+    named = materialize(named.unionByName(copies.join(roots, "rep", "left_anti").select("rep", F.col("low").alias("component_id"))), "named-classes")
+
+    full = usable.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    other = full.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rest = rest.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -84,9 +84,33 @@ def test_estimates_are_near(spark):
     assert abs(near_dups.estimates(s[0], s[1:])[0] - 0.75) < 0.15
 
 
+def exact(spark, own, buckets):
+    """Root by place of what exact_links links; buckets: bucket and members."""
+    marks = near_dups.odd_sketches(near_dups.min_hashes(own, near_dups._A, near_dups._B))
+    rows = [(i, bytearray(s.tobytes()), bytearray(m.tobytes())) for i, (s, m) in enumerate(zip(own, marks, strict=True))]
+    table = spark.createDataFrame(rows, "rep long, shingles binary, sketch binary").cache()
+    shared = spark.createDataFrame([(b, i, len(x)) for b, x in buckets.items() for i in x], "bucket long, rep long, n long")
+    links = near_dups.exact_links(shared, table.select("rep", "sketch"), lambda f: table.select("rep", "shingles").join(f, "rep", "left_semi"))
+    root = {r["node"]: r["component"] for r in near_dups.components(links).collect()}
+    table.unpersist()
+    return [root.get(i, i) for i in range(len(own))]
+
+
+def linked(own):
+    root = list(range(len(own)))
+    for i, s in enumerate(own):
+        for j in range(i):
+            n = len(np.intersect1d(s, own[j]))
+            if 100 * n >= 75 * (len(s) + len(own[j]) - n):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
 def test_hot_bucket_is_compared_across_blocks(spark, monkeypatch):
     """Pairs of a bucket whose members are all unlike otherwise, and a chain whose ends are unlike."""
     monkeypatch.setattr(near_dups, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_dups, "FAMILY_BLOCK", 3)
     rng = np.random.default_rng(11)
     fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
     own = []
@@ -96,11 +120,54 @@ def test_hot_bucket_is_compared_across_blocks(spark, monkeypatch):
     for _ in range(6):
         own.append(np.concatenate([own[-1][50:], fresh(50)]))
     own = [np.unique(s) for s in own]
-    marks = near_dups.odd_sketches(near_dups.min_hashes(own, near_dups._A, near_dups._B))
-    rows = [(i, bytearray(s.tobytes()), bytearray(m.tobytes())) for i, (s, m) in enumerate(zip(own, marks, strict=True))]
-    table = spark.createDataFrame(rows, "doc_id long, shingles binary, sketch binary").cache()
-    shared = table.selectExpr("7L AS bucket", "doc_id AS rep", f"{len(rows)}L AS n")
-    links = near_dups.exact_links(shared, table.selectExpr("doc_id AS rep", "sketch"), lambda f: table.select("doc_id", "shingles").join(f.select("doc_id"), "doc_id", "left_semi"))
-    root = {r["node"]: r["component"] for r in near_dups.components(links).collect()}
-    assert all(root.get(2 * i) == 2 * i == root.get(2 * i + 1) for i in range(30))
-    assert {root.get(i) for i in range(58, 66)} == {58}
+    assert exact(spark, own, {7: range(len(own))}) == linked(own)
+
+
+def test_members_between_two_leaders_are_linked(spark, monkeypatch):
+    """x and y are alike, each is nearest to another set that isn't like the other's."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    own = []
+    for _ in range(25):
+        x = fresh(400)
+        y = np.concatenate([x[:350], fresh(50)])
+        own += [np.concatenate([x[60:320], fresh(140)]), np.concatenate([y[100:], fresh(150)]), x, y]
+    own = [np.unique(s) for s in own]
+    want = linked(own)
+    buckets = {b: range(4 * b, 4 * b + 4) for b in range(25)}
+    assert sum(want[4 * b + 2] == want[4 * b + 3] for b in range(25)) == 25
+    assert exact(spark, own, buckets) == want
+    monkeypatch.setattr(near_dups, "BUCKET_BLOCK", 2)
+    monkeypatch.setattr(near_dups, "FAMILY_BLOCK", 1)
+    assert exact(spark, own, buckets) == want
+
+
+def test_ids_with_different_texts(spark):
+    """Every row of an id is one document with it, empty rows included."""
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows, want = [], {}
+    for g in range(12):
+        one, other = text(60), text(80)
+        near = lambda words: " ".join(["e", *words[1:]])
+        ids = [100 * g + 50, 100 * g + 7, 100 * g + 20, 100 * g + 90]
+        rows += [(ids[0], " ".join(one)), (ids[0], " ".join(other)), (ids[0], None), (ids[0], "a b"), (ids[1], near(one)), (ids[2], near(other)), (ids[3], " ".join(other))]
+        want |= dict.fromkeys(ids, ids[1])
+    rows += [(5000, "x y z"), (5000, ""), (5001, None)]
+    want |= {5000: 5000, 5001: 5001}
+    for g in range(12):  # "a b" is a text of every group, which makes all of them one
+        want |= dict.fromkeys([100 * g + 50, 100 * g + 7, 100 * g + 20, 100 * g + 90], 7)
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in got)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(14)
+    long = [f"w{rng.randrange(90000)}" for _ in range(300_000)]
+    word = "q" * 2_000_000
+    texts = [" ".join(long), " ".join([*long[:-1], "other"]), " ".join([word, "a", "b", "c", "d", "e"]), f"{word} a b c d e", f"{word}z a b c d e"]
+    frame = spark.createDataFrame([(9 - i, t, "x", 1, 2, "s") for i, t in enumerate(texts)], "doc_id long, text string, rep string, bucket int, component_id int, sketch string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(frame).collect()}
+    assert got == {9: (299_996, 8), 8: (299_996, 8), 7: (2, 6), 6: (2, 6), 5: (2, 5)}
+    kept = near_dups.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns and sorted((r["doc_id"], r["rep"], r["bucket"], r["component_id"], r["sketch"]) for r in kept.collect()) == [(5, "x", 1, 2, "s"), (6, "x", 1, 2, "s"), (8, "x", 1, 2, "s")]
