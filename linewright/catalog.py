@@ -36,10 +36,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from linewright import catalog_runs  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from linewright import catalog_runs  # noqa: F401
+
     return dict(_sql)
 
 
@@ -172,14 +176,14 @@ def template_merge(spark, sf_dir):
 
 
 @query(f"""WITH {LINES}, t AS (SELECT log_id, line_id, {TOKENS} AS v FROM lines),
-  c AS (SELECT log_id, line_id AS template_no, list_transform(range(1, len(v) + 1), lambda k: CASE WHEN k % 3 = 0 THEN '<*>' ELSE v[k] END) AS w FROM t WHERE line_id % 4 = 0 AND len(v) > 0),
+  c AS (SELECT log_id, line_id AS template_no, list_transform(range(1, len(v) + 1), lambda k: CASE WHEN k % 3 = 0 THEN '<*>' ELSE v[k] END) AS w FROM t WHERE len(v) > 0),
   s AS (SELECT t.log_id, t.line_id, c.template_no, len(list_filter(range(1, len(w) + 1), lambda k: w[k] = v[k] AND w[k] <> '<*>')) / len(w) AS sim, len(list_filter(w, lambda x: x = '<*>')) AS wild
     FROM t JOIN c ON t.log_id = c.log_id AND len(v) = len(w)),
   r AS (SELECT *, row_number() OVER (PARTITION BY log_id, line_id ORDER BY sim DESC, wild DESC, template_no) AS r FROM s)
   SELECT log_id, line_id, template_no, round(sim, 6) AS sim FROM r WHERE r = 1 AND sim >= 0.3""")
 def leaf_best_match(spark, sf_dir):
     t = docs(spark, sf_dir).select("log_id", "line_id", text.tokens(F.col("text")).alias("tokens"))
-    stored = t.where((F.col("line_id") % 4 == 0) & (F.size("tokens") > 0)).select("log_id", F.col("line_id").alias("template_no"), F.transform("tokens", lambda x, i: F.when((i + 1) % 3 == 0, text.WILDCARD).otherwise(x)).alias("template"))
+    stored = t.where(F.size("tokens") > 0).select("log_id", F.col("line_id").alias("template_no"), F.transform("tokens", lambda x, i: F.when((i + 1) % 3 == 0, text.WILDCARD).otherwise(x)).alias("template"))
     return templates.best_template(t, stored, 0.3).select("log_id", "line_id", "template_no", r6("sim").alias("sim"))
 
 
@@ -195,11 +199,11 @@ def variables_extract(spark, sf_dir):
     return t.crossJoin(F.broadcast(s)).select("event_id", "no", F.array_join(text.variables(F.col("template"), F.col("line")), "~").alias("variables"))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT log_id, line_id, {TOKENS} AS v FROM lines), h AS (SELECT log_id, line_id AS template_id, v AS w FROM t WHERE line_id % 5 = 0)
+@query(f"""WITH {LINES}, t AS (SELECT log_id, line_id, {TOKENS} AS v FROM lines), h AS (SELECT log_id, line_id AS template_id, v AS w FROM t)
   SELECT t.log_id, t.line_id, CAST(count(*) AS BIGINT) AS n_templates FROM t JOIN h ON t.log_id = h.log_id AND len(list_filter(h.w, lambda x: x <> '<*>' AND NOT list_contains(t.v, x))) = 0 GROUP BY 1, 2""")
 def subset_match(spark, sf_dir):
     t = docs(spark, sf_dir).select("log_id", "line_id", text.tokens(F.col("text")).alias("v"))
-    h = t.where("line_id % 5 = 0").select("log_id", F.col("v").alias("w"))
+    h = t.select("log_id", F.col("v").alias("w"))
     return t.join(h, "log_id").where(text.is_subset(F.col("w"), F.col("v"))).groupBy("log_id", "line_id").agg(F.count(F.lit(1)).alias("n_templates"))
 
 
@@ -287,7 +291,7 @@ SET_PAIRS = f"""{SETS}, q AS (SELECT a.log_id, a.line_id AS i, b.line_id AS j, l
 
 
 def line_sets(spark, sf_dir) -> DataFrame:
-    return docs(spark, sf_dir).withColumn("variables", F.array_distinct(text.word_tokens(F.col("text"))))
+    return distances.hashed_sets(docs(spark, sf_dir).withColumn("variables", text.word_tokens(F.col("text"))), "variables")
 
 
 @query(f"WITH {SET_PAIRS} SELECT log_id, i, j, round(CASE WHEN either = 0 THEN 0 ELSE 1 - common / either END, 6) AS d FROM q")
@@ -336,7 +340,7 @@ COMBINED = f"""{SET_PAIRS}, n AS (SELECT log_id, count(*) AS n FROM lines GROUP
 
 
 def combined(spark, sf_dir) -> DataFrame:
-    return distances.combine(line_sets(spark, sf_dir), (0.6180339887, 0.0, 0.3819660112))
+    return distances.combine(docs(spark, sf_dir).withColumn("variables", text.word_tokens(F.col("text"))), (0.6180339887, 0.0, 0.3819660112))
 
 
 @query(f"WITH {COMBINED} SELECT log_id, i, j, round(d, 6) AS d FROM g")
@@ -442,7 +446,13 @@ def dbscan_min2(spark, sf_dir):
     return clustering.dbscan_pairs(_points(spark, sf_dir), vec_pairs(spark, sf_dir), EPS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC_PAIRS}, near AS (SELECT log_id, i, j FROM m WHERE d <= 0.35), core AS (SELECT log_id, i FROM near GROUP BY ALL HAVING count(*) + 1 >= 3),
+  link AS (SELECT n.log_id, n.i, n.j FROM near n JOIN core a ON a.log_id = n.log_id AND a.i = n.i JOIN core b ON b.log_id = n.log_id AND b.i = n.j),
+  reach(log_id, i, j) AS (SELECT log_id, i, i FROM core UNION SELECT r.log_id, r.i, l.j FROM reach r JOIN link l ON l.log_id = r.log_id AND l.i = r.j),
+  own AS (SELECT log_id, i, min(j) AS root FROM reach GROUP BY ALL),
+  border AS (SELECT n.log_id, n.i, min(o.root) AS root FROM near n JOIN own o ON o.log_id = n.log_id AND o.i = n.j WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.log_id = n.log_id AND c.i = n.i) GROUP BY ALL),
+  root AS (SELECT * FROM own UNION ALL SELECT * FROM border)
+  SELECT v.log_id, v.line_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY v.log_id ORDER BY root NULLS LAST) - 1 END AS cluster FROM vecs v LEFT JOIN root ON root.log_id = v.log_id AND root.i = v.line_id""")
 def dbscan_general(spark, sf_dir):
     return clustering.dbscan(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 0.35, 3)
 
@@ -454,17 +464,14 @@ def kmedoids(spark, sf_dir):
 
 @query()
 def kmedoids_sweep(spark, sf_dir):
-    swept = clustering.sweep_medoids(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 4)
+    swept = clustering.sweep_medoids(_points(spark, sf_dir), vec_pairs(spark, sf_dir))
     one = swept.select("log_id", "k", "silhouette", "objective").distinct()
     return metrics.best_per_key(one, ["log_id"], "silhouette", "k")
 
 
 @query()
 def kmeans_rows(spark, sf_dir):
-    v = vecs(spark, sf_dir).where("log_id = 0")
-    points = v.select("log_id", "line_id")
-    rows = clustering.matrix_rows(points, distances.cosine_pairs(v, "vec", "line_id", "log_id"))
-    return clustering.cluster_means(rows, "row", 5).select("log_id", "line_id", "cluster")
+    return clustering.cluster_matrix_rows(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 5)
 
 
 @query()
@@ -547,18 +554,39 @@ def lda_topics(spark, sf_dir):
     return topics.lda_topics(_table(spark, sf_dir, "documents"), 4)
 
 
-@query()
+@query(f"""WITH w AS (SELECT unnest({WORDS}) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS v FROM c)
+  SELECT 0 AS topic, row_number() OVER (ORDER BY n DESC, word) AS rank, word, round((n + 1) / (total + v), 9) AS weight FROM c, t ORDER BY n DESC, word LIMIT 10""")
 def lda_single(spark, sf_dir):
-    return topics.lda_topics(_table(spark, sf_dir, "documents"), 1)
+    return topics.lda_topics(_table(spark, sf_dir, "documents"), 1).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+TFIDF = f"""n AS (SELECT log_id, count(*) AS n FROM lines GROUP BY 1), w AS (SELECT log_id, line_id, unnest({WORDS}) AS token FROM lines),
+  tf AS (SELECT log_id, line_id, token, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT log_id, token, count(*) AS df FROM tf GROUP BY ALL),
+  r AS (SELECT tf.log_id, line_id, tf.token, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df ON tf.log_id = df.log_id AND tf.token = df.token JOIN n ON n.log_id = tf.log_id),
+  l AS (SELECT log_id, line_id, sqrt(sum(raw * raw)) AS len FROM r GROUP BY ALL), u AS (SELECT r.log_id, r.line_id, token, raw / len AS x FROM r JOIN l ON r.log_id = l.log_id AND r.line_id = l.line_id),
+  sim AS (SELECT a.log_id, a.line_id AS i, b.line_id AS j, sum(a.x * b.x) AS s FROM u a JOIN u b ON a.log_id = b.log_id AND a.token = b.token AND a.line_id <> b.line_id GROUP BY ALL)"""
+
+
+def _ranked_sql(links: str) -> str:
+    """Ten rounds of damped centrality over links(log_id, i, j, s)."""
+    rounds = "".join(
+        f""", s{r + 1} AS (SELECT b.log_id, b.line_id, 0.15 / n + 0.85 * coalesce(g.got, 0) AS score FROM lines b JOIN n ON n.log_id = b.log_id
+  LEFT JOIN (SELECT p.log_id, p.j, sum(p.p * s{r}.score) AS got FROM p JOIN s{r} ON s{r}.log_id = p.log_id AND s{r}.line_id = p.i GROUP BY ALL) g ON g.log_id = b.log_id AND g.j = b.line_id)"""
+        for r in range(10)
+    )
+    return f"""WITH {LINES}, {TFIDF}, links AS ({links}), p AS (SELECT log_id, i, j, s / sum(s) OVER (PARTITION BY log_id, i) AS p FROM links),
+  s0 AS (SELECT b.log_id, b.line_id, 1 / n AS score FROM lines b JOIN n ON n.log_id = b.log_id){rounds} SELECT log_id, line_id, round(score, 6) AS score FROM s10"""
+
+
+@query(_ranked_sql("SELECT * FROM sim"))
 def textrank_sentences(spark, sf_dir):
     lines = docs(spark, sf_dir)
     return topics.rank_sentences(lines, features.tfidf(lines)).withColumn("score", r6("score"))
 
 
-@query()
+@query(f"""WITH {LINES}, w AS (SELECT log_id, line_id, unnest({WORDS}) AS word FROM lines), c AS (SELECT log_id, word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT log_id, sum(n) AS total FROM c GROUP BY 1),
+  f AS (SELECT c.log_id, word FROM c JOIN t USING (log_id) WHERE n >= greatest(2, 0.02 * total)), h AS (SELECT w.log_id, w.line_id, count(f.word) AS h, count(*) AS n FROM w LEFT JOIN f ON f.log_id = w.log_id AND f.word = w.word GROUP BY ALL)
+  SELECT log_id, line_id, round(h * h / n, 6) AS score FROM h""")
 def luhn_sentences(spark, sf_dir):
     return topics.frequent_word_sentences(docs(spark, sf_dir)).withColumn("score", r6("score"))
 
@@ -611,9 +639,9 @@ def describe_stats(spark, sf_dir):
     return d.withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
-@query("SELECT printf('%s/%s', lang, source) AS params, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT printf('%s %.2f', lang, CAST(n_chars % 3 AS DOUBLE) / 3) AS params, count(*) AS n FROM documents GROUP BY 1")
 def value_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy(F.format_string("%s/%s", "lang", "source").alias("params")).agg(F.count(F.lit(1)).alias("n"))
+    return _table(spark, sf_dir, "documents").groupBy(F.format_string("%s %.2f", "lang", (F.col("n_chars") % 3).cast("double") / 3).alias("params")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY source) - 1 AS BIGINT) AS code FROM documents")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def mask(text: Column, patterns: Sequence[str], by: str = WILDCARD) -> Column:
     return text
 
 
+def mask_last(text: Column, patterns: Sequence[str], by: str = WILDCARD) -> Column:
+    """Each pattern replaced in the text as it was, the last one's result kept: what a loop that forgets its result gives."""
+    return mask(text, patterns[-1:], by)
+
+
 def strip_time(text: Column) -> Column:
     return F.regexp_replace(text, LEADING_TIME, "")
 
@@ -63,9 +70,19 @@ def without_punctuation(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\p{Punct}", ""))
 
 
-def simple_words(text: Column, least: int = 2, most: int = 15) -> Column:
-    """Lower-cased alphabetic tokens of a length between least and most, accents folded to their letters."""
-    plain = F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
+def _unmarked(text: pd.Series) -> pd.Series:
+    marked = text.str.normalize("NFKD")
+    return marked.map(lambda t: t if t is None or t.isascii() else "".join(c for c in t if not unicodedata.combining(c)), na_action="ignore")
+
+
+def without_accents(text: Column) -> Column:
+    """Every letter without its marks (compatibility decomposition), in Arrow batches: no native expression decomposes letters."""
+    return F.pandas_udf(_unmarked, "string")(text)
+
+
+def simple_words(text: Column, least: int = 2, most: int = 15, accents: bool = True) -> Column:
+    """Lower-cased alphabetic tokens of a length between least and most; accents: folded to their letters."""
+    plain = without_accents(F.lower(text)) if accents else F.lower(text)
     return F.filter(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0)), lambda t: F.length(t).between(least, most))
 
 

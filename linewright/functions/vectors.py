@@ -28,13 +28,13 @@ def min_max(df: DataFrame, value: str, by: list[str], out: str, top: float = 1.0
     return df.withColumn(out, scale(F.col(value), F.min(value).over(w), F.max(value).over(w), top))
 
 
-def pool(df: DataFrame, by: list[str], vector: str, kind: str) -> DataFrame:
-    """One vector for each group: 'mean' or 'sum' by component, or 'none' (the vectors as they are)."""
+def pool(df: DataFrame, by: list[str], vector: str, kind) -> DataFrame:
+    """One vector for each group: 'mean' or 'sum' by component, 'none' (the vectors as they are), or what a function makes of a component's column."""
     if kind == "none":
         return df.select(*by, F.col(vector).alias("pooled"))
-    if kind not in ("mean", "sum"):
+    if not callable(kind) and kind not in ("mean", "sum"):
         raise ValueError(f"no pooling named {kind!r}")
     each = df.select(*by, F.posexplode(vector).alias("dim", "x"))
-    one = each.groupBy(*by, "dim").agg((F.avg if kind == "mean" else F.sum)(F.col("x").cast("double")).alias("x"))
+    one = each.groupBy(*by, "dim").agg((kind if callable(kind) else F.avg if kind == "mean" else F.sum)(F.col("x").cast("double")).alias("x"))
     pairs = one.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))
     return pairs.select(*by, F.transform("p", lambda p: p["x"]).alias("pooled"))

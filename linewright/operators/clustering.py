@@ -143,48 +143,95 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def by_log(points: DataFrame, pairs: DataFrame, run, schema: str, by: str = "log_id") -> DataFrame:
-    """run(ids, matrix) for each log; it returns a frame without the log's id. Points without pairs are kept."""
+def by_log(points: DataFrame, pairs: DataFrame, run, schema: str, by: str = "log_id", links: DataFrame | None = None) -> DataFrame:
+    """run(ids, matrix) for each log; it returns a frame without the log's id. Points without pairs are kept.
+
+    links: by, i, j and kind ('must' or 'cannot'); run then gets the places of both kinds' ends as well. A link with an
+    end that isn't a point of the log is refused.
+    """
     ship_package(points.sparkSession)
     rows = points.select(by, F.col("line_id").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("d")).unionByName(pairs.select(by, "i", "j", "d"))
+    rows = rows.withColumn("kind", F.lit(None).cast("string"))
+    linked = links is not None
+    if linked:
+        rows = rows.unionByName(links.select(by, "i", "j", F.lit(0.0).alias("d"), "kind"))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(*_matrix(pdf))
+        ids, matrix = _matrix(pdf[pdf["kind"].isna()])
+        if not linked:
+            out = run(ids, matrix)
+        else:
+            both = []
+            for kind in ("must", "cannot"):
+                ends = pdf.loc[pdf["kind"] == kind, ["i", "j"]].to_numpy(np.int64)
+                if not np.isin(ends, ids).all():
+                    raise ValueError(f"a {kind}-link ends at a line that isn't there")
+                both.append(sorted({tuple(x) for x in np.searchsorted(ids, ends).tolist()}))
+            out = run(ids, matrix, *both)
         out.insert(0, by, pdf[by].iloc[0])
         return out
 
     return rows.groupBy(by).applyInPandas(each, f"{by} {points.schema[by].dataType.simpleString()}, {schema}")
 
 
-def cluster_medoids(points: DataFrame, pairs: DataFrame, k: int, by: str = "log_id") -> DataFrame:
-    """by, line_id, cluster and objective with k clusters (or as many as there are points)."""
+def cluster_medoids(points: DataFrame, pairs: DataFrame, k: int, by: str = "log_id", links: DataFrame | None = None) -> DataFrame:
+    """by, line_id, cluster and objective with k clusters (or as many as there are points).
 
-    def run(ids, matrix):
-        m = min(k, len(ids))
-        labels, objective, _ = medoids(matrix, m)
-        return pd.DataFrame({"line_id": ids, "cluster": complete(matrix, labels, m), "objective": objective})
+    links: by, i, j and kind: lines that must, or cannot, be in one cluster. Must-links are closed transitively and always
+    kept; with them there may be fewer clusters to be had than k, and as many as the links leave are made.
+    """
+
+    def run(ids, matrix, must=(), cannot=()):
+        m = min(k, len(np.unique(contract(len(ids), must))))
+        labels, objective, _ = medoids(matrix, m, must, cannot)
+        return pd.DataFrame({"line_id": ids, "cluster": complete(matrix, labels, min(m, len(np.unique(labels)) + _free(len(ids), labels, must)), must), "objective": objective})
+
+    return by_log(points, pairs, run, "line_id long, cluster long, objective double", by, links)
+
+
+def _free(n: int, labels: np.ndarray, must: Iterable[tuple[int, int]]) -> int:
+    """How many points can be set apart: those without a must-link that leave another in their cluster."""
+    held = {p for pair in must for p in pair}
+    return sum(max(0, int((own := labels == c).sum()) - max(1, sum(bool(own[p]) for p in held))) for c in np.unique(labels))
+
+
+def feature_pairs(features: DataFrame, vector: str, by: str = "log_id") -> DataFrame:
+    """Pairs with the plain Euclidean distance of their features."""
+    from linewright.operators.distances import pairs as paired
+
+    square = F.aggregate(F.zip_with(f"a_{vector}", f"b_{vector}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return paired(features, [vector], "line_id", by).select(by, "i", "j", F.sqrt(square).alias("d"))
 
-    return by_log(points, pairs, run, "line_id long, cluster long, objective double", by)
 
+def feature_medoids(features: DataFrame, vector: str, k: int, by: str = "log_id") -> DataFrame:
+    """Medoids by the distance of features rather than a given one."""
+    return cluster_medoids(features, feature_pairs(features, vector, by), k, by)
 
-def sweep_medoids(points: DataFrame, pairs: DataFrame, samples: int = 10, by: str = "log_id") -> DataFrame:
+
+def sweep_medoids(points: DataFrame, pairs: DataFrame, samples: int = 10, by: str = "log_id", links: DataFrame | None = None) -> DataFrame:
     """by, k, line_id, cluster, silhouette and objective for each count of clusters that is tried.
 
-    One or two points are a cluster each, with their count as k and no silhouette.
+    One or two points are a cluster each, with their count as k and no silhouette. links: as for cluster_medoids; counts
+    that they leave no room for are not tried.
     """
 
-    def run(ids, matrix):
+    def run(ids, matrix, must=(), cannot=()):
         n = len(ids)
         if n <= 2:
             return pd.DataFrame({"k": n, "line_id": ids, "cluster": np.arange(n), "silhouette": np.nan, "objective": 0.0})
         frames = []
         for k in candidate_k(n, samples):
-            labels, objective, _ = medoids(matrix, k)
-            labels = complete(matrix, labels, k)
+            if k > len(np.unique(contract(n, must))):
+                continue
+            labels, objective, _ = medoids(matrix, k, must, cannot)
+            if len(np.unique(labels)) + _free(n, labels, must) < k:
+                continue
+            labels = complete(matrix, labels, k, must)
             frames.append(pd.DataFrame({"k": k, "line_id": ids, "cluster": labels, "silhouette": silhouette_of(matrix, labels), "objective": objective}))
-        return pd.concat(frames)
+        none = pd.DataFrame({"k": n, "line_id": ids, "cluster": contract(n, must), "silhouette": np.nan, "objective": 0.0})
+        return pd.concat(frames) if frames else none
 
-    return by_log(points, pairs, run, "k long, line_id long, cluster long, silhouette double, objective double", by)
+    return by_log(points, pairs, run, "k long, line_id long, cluster long, silhouette double, objective double", by, links)
 
 
 def linkage(matrix: np.ndarray, k: int, kind: str = "average") -> np.ndarray:
@@ -288,6 +335,47 @@ def cluster_density(points: DataFrame, pairs: DataFrame, least: int = 2, by: str
     return by_log(points, pairs, lambda ids, m: pd.DataFrame({"line_id": ids, "cluster": density_tree(m, least)}), "line_id long, cluster long", by)
 
 
+#: What is tried for the fewest outliers: the least members of a cluster, and the neighbours that make a core (None: as many).
+LEAST, SAMPLES = (5, 10, 20, 30), (None, 10, 20, 30)
+
+
+def density_grid(points: DataFrame, pairs: DataFrame, least: Iterable[int] = LEAST, samples: Iterable[int | None] = SAMPLES, by: str = "log_id") -> DataFrame:
+    """by, line_id, cluster, least, samples and outliers of each log's setting with the fewest outliers, the first of equals."""
+    tried = [(a, b) for a in least for b in samples]
+
+    def run(ids, matrix):
+        best = None
+        for a, b in tried:
+            labels = density_tree(matrix, a, b)
+            if best is None or (labels == -1).sum() < best[0]:
+                best = (int((labels == -1).sum()), a, b, labels)
+        n, a, b, labels = best
+        return pd.DataFrame({"line_id": ids, "cluster": labels, "least": a, "samples": a if b is None else b, "outliers": n})
+
+    return by_log(points, pairs, run, "line_id long, cluster long, least long, samples long, outliers long", by)
+
+
+def lloyd(rows: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """k-means from seeds that are farthest apart in turn, the first being the one nearest the mean; deterministic."""
+    square = lambda c: ((rows[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    seeds = [int(((rows - rows.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+    while len(seeds) < min(k, len(rows)):
+        seeds.append(int(square(rows[seeds]).min(axis=1).argmax()))
+    centres, labels = rows[seeds], np.full(len(rows), -1)
+    for _ in range(rounds):
+        new = square(centres).argmin(axis=1)
+        if (new == labels).all():
+            break
+        labels = new
+        centres = np.stack([rows[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(len(centres))])
+    return np.unique(labels, return_inverse=True)[1]
+
+
+def cluster_matrix_rows(points: DataFrame, pairs: DataFrame, k: int, by: str = "log_id") -> DataFrame:
+    """k-means of each log's lines, with the rows of its distance matrix as features."""
+    return by_log(points, pairs, lambda ids, m: pd.DataFrame({"line_id": ids, "cluster": lloyd(m, k)}), "line_id long, cluster long", by)
+
+
 def cluster_means(features: DataFrame, vector: str, k: int, seed: int = 7) -> DataFrame:
     """k-means over rows' vectors (arrays) with the distributed implementation of the ML library."""
     from pyspark.ml.clustering import KMeans

@@ -17,10 +17,16 @@ def pairs(df: DataFrame, columns: list[str], key: str = "line_id", by: str = "lo
     return out.withColumnRenamed(f"a_{key}", "i").withColumnRenamed(f"b_{key}", "j")
 
 
+def hashed_sets(df: DataFrame, *columns: str) -> DataFrame:
+    """df with each array of strings as the set of its values' 64-bit hashes, which are quicker to send and to compare."""
+    return df.withColumns({c: F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))) for c in columns})
+
+
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
-    """1 - |a and b| / |a or b| of two sets; two empty ones are `empty` apart."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
+    """1 - |a and b| / |a or b| of two sets (arrays without repeats); two empty ones are `empty` apart."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(empty)).otherwise(1 - both / union)
 
 
 def jaccard_by_index(df: DataFrame, values: str, key: str = "line_id", by: str = "log_id") -> DataFrame:
@@ -47,7 +53,8 @@ def euclidean_pairs(df: DataFrame, vector: str, key: str, by: str) -> DataFrame:
     """Euclidean distances between 0 (the least, a line's own) and 1 (the log's largest)."""
     square = F.aggregate(F.zip_with(f"a_{vector}", f"b_{vector}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     p = pairs(df, [vector], key, by).select(by, "i", "j", F.sqrt(square).alias("raw"))
-    return p.select(by, "i", "j", scale(F.col("raw"), F.lit(0.0), F.max("raw").over(Window.partitionBy(by))).alias("d"))
+    top = p.groupBy(by).agg(F.max("raw").alias("top"))
+    return p.join(top, by).select(by, "i", "j", scale(F.col("raw"), F.lit(0.0), F.col("top")).alias("d"))
 
 
 def late_interaction(tokens: DataFrame, by: str = "log_id", key: str = "line_id", vector: str = "vec") -> DataFrame:
@@ -56,8 +63,8 @@ def late_interaction(tokens: DataFrame, by: str = "log_id", key: str = "line_id"
     right = tokens.select(by, F.col(key).alias("j"), F.col(vector).alias("v"))
     best = left.join(right, by).groupBy(by, "i", "j", "t").agg(F.max(dot(F.col("u"), F.col("v"))).alias("best"))
     sim = best.groupBy(by, "i", "j").agg(F.avg("best").alias("sim"))
-    w = Window.partitionBy(by)
-    return sim.select(by, "i", "j", scale(F.max("sim").over(w) - F.col("sim"), F.lit(0.0), F.max("sim").over(w) - F.min("sim").over(w)).alias("d")).where("i <> j")
+    ends = sim.groupBy(by).agg(F.max("sim").alias("high"), F.min("sim").alias("low"))
+    return sim.where("i <> j").join(ends, by).select(by, "i", "j", scale(F.col("high") - F.col("sim"), F.lit(0.0), F.col("high") - F.col("low")).alias("d"))
 
 
 def line_pairs(df: DataFrame, relative: bool = False, key: str = "line_id", by: str = "log_id") -> DataFrame:
@@ -93,6 +100,8 @@ def combine(features: DataFrame, weights: tuple[float, float, float], empty: flo
     alpha, beta, gamma = weights
     needs = [c for c, w in (("variables", alpha), ("vec", beta)) if w]
     base = features.select("log_id", "line_id", *needs)
+    if alpha:
+        base = hashed_sets(base, "variables")
     if beta:
         base = base.withColumn("norm", norm(F.col("vec")))
         needs.append("norm")

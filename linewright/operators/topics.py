@@ -92,9 +92,13 @@ def rank_sentences(lines: DataFrame, weights: DataFrame, rounds: int = 10, dampi
     The links of each log are built once by an inverted index; each round is one join and one sum.
     """
     from linewright.operators.features import sparse_cosine
+
+    return _centrality(lines, sparse_cosine(weights, by).select(by, "i", "j", (1 - 2 * F.col("d")).alias("s")), rounds, damping, by)
+
+
+def _centrality(lines: DataFrame, links: DataFrame, rounds: int, damping: float, by: str) -> DataFrame:
     from linewright.plans.lineage import materialize
 
-    links = sparse_cosine(weights, by).select(by, "i", "j", (1 - 2 * F.col("d")).alias("s"))
     both = links.unionByName(links.select(by, F.col("j").alias("i"), F.col("i").alias("j"), "s"))
     out_sum = both.groupBy(by, "i").agg(F.sum("s").alias("total"))
     graph = materialize(both.join(out_sum, [by, "i"]).select(by, "i", "j", (F.col("s") / F.col("total")).alias("p")), "sentence-links")
@@ -117,3 +121,87 @@ def frequent_word_sentences(lines: DataFrame, by: str = "log_id", share: float =
     frequent = counts.join(totals, by).where(F.col("n") >= F.greatest(F.lit(2), share * F.col("total"))).select(by, "word", F.lit(1).alias("hit"))
     scored = each.join(frequent, [by, "word"], "left").groupBy(by, "line_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("h"), F.count(F.lit(1)).alias("n"))
     return scored.select(by, "line_id", (F.col("h") * F.col("h") / F.col("n")).alias("score"))
+
+
+def lex_rank(lines: DataFrame, weights: DataFrame, threshold: float = 0.1, rounds: int = 10, by: str = "log_id") -> DataFrame:
+    """by, line_id and score: centrality of lines in the graph whose links are cosine similarities above the threshold, all of equal weight."""
+    from linewright.operators.features import sparse_cosine
+
+    links = sparse_cosine(weights, by).where(1 - 2 * F.col("d") > threshold).select(by, "i", "j", F.lit(1.0).alias("s"))
+    return _centrality(lines, links, rounds, 0.85, by)
+
+
+def window_topics(windows: DataFrame, k: int = 10, top: int = 10, by: tuple[str, ...] = ("log_id", "window"), rounds: int = 30) -> DataFrame:
+    """by, rank, word and weight: the words of the first of k topics of a latent Dirichlet model fitted to each window's lines.
+
+    A window is a bounded group (20 lines), fitted in one task by variational inference from a start that depends on the
+    words alone. A window without words has no rows. A word's ties go by the alphabet.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(by)
+
+    def digamma(x):
+        shift = np.zeros_like(x)
+        for _ in range(6):
+            shift -= 1 / x
+            x = x + 1
+        return shift + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_id")
+        words = sorted({w for x in pdf["words"] for w in x})
+        if not words:
+            return pd.DataFrame(columns=[*keys, "rank", "word", "weight"])
+        place = {w: i for i, w in enumerate(words)}
+        bag = np.zeros((len(pdf), len(words)))
+        for d, x in enumerate(pdf["words"]):
+            for w in x:
+                bag[d, place[w]] += 1
+        v = np.arange(len(words))
+        lam = 1 + 0.5 * np.sin((v[None, :] + 1) * (np.arange(k)[:, None] + 1))
+        for _ in range(rounds):
+            beta = np.exp(digamma(lam) - digamma(lam.sum(axis=1, keepdims=True)))
+            gamma = np.ones((len(pdf), k))
+            for _ in range(10):
+                theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+                share = bag / (theta @ beta + 1e-100)
+                gamma = 1 / k + theta * (share @ beta.T)
+            lam = 1 / k + beta * (theta.T @ share)
+        weight = lam[0] / lam[0].sum()
+        best = sorted(range(len(words)), key=lambda i: (-round(float(weight[i]), 9), words[i]))[:top]
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "rank": range(1, len(best) + 1), "word": [words[i] for i in best], "weight": weight[best]})
+
+    ready = windows.select(*keys, "line_id", word_tokens(F.col("text")).alias("words"))
+    kinds = ", ".join(f"{c} {ready.schema[c].dataType.simpleString()}" for c in keys)
+    return ready.groupBy(*keys).applyInPandas(fit, f"{kinds}, rank long, word string, weight double")
+
+
+def latent_sentences(weights: DataFrame, topics: int = 3, by: str = "log_id", key: str = "line_id") -> DataFrame:
+    """by, key and score: the length of a line in the space of its log's strongest singular directions (latent semantic analysis).
+
+    A log's lines are gathered in one task, where the matrix of its lines' similarities is decomposed.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, row = np.unique(pdf[key].to_numpy(), return_inverse=True)
+        words, column = np.unique(pdf["token"].to_numpy().astype(str), return_inverse=True)
+        matrix = np.zeros((len(ids), len(words)))
+        matrix[row, column] = pdf["weight"].to_numpy()
+        values, vectors = np.linalg.eigh(matrix @ matrix.T)
+        best = np.argsort(-values)[:topics]
+        score = np.sqrt((vectors[:, best] ** 2 * np.maximum(values[best], 0)).sum(axis=1))
+        return pd.DataFrame({by: pdf[by].iloc[0], key: ids, "score": score})
+
+    return weights.groupBy(by).applyInPandas(fit, f"{by} {weights.schema[by].dataType.simpleString()}, {key} {weights.schema[key].dataType.simpleString()}, score double")
+
+
+def corpus_topics(points: DataFrame, vector: str, texts: DataFrame, k: int, key: str, top: int = 10) -> DataFrame:
+    """topic, rank, word and weight of k clusters of all points by their vectors, in full dimension; texts: key and text."""
+    from linewright.operators.clustering import cluster_means
+
+    found = cluster_means(points, vector, k).select(key, F.col("cluster").alias("topic"))
+    return topic_words(texts.join(found, key), ["topic"], "text", top)

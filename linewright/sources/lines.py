@@ -17,10 +17,19 @@ def split_lines(df: DataFrame, log_id: str, text: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of raw text files, keyed by file. A file is one row while it is split, so that line numbers are exact."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = split_lines(files.withColumn("value", F.regexp_replace("value", r"\n$", "")), "file", "value")
-    return lines
+    """Lines of raw text files, keyed by file and numbered from 0. An empty file has none.
+
+    A file is read in blocks by many tasks. Lines are numbered within their block, and from the counts of the blocks
+    before it; only these counts are gathered by file.
+    """
+    block = [F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path, lineSep="\n").select(*block, F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    counts = rows.groupBy("log_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("log_id", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    within = rows.withColumn("place", F.row_number().over(Window.partitionBy("log_id", "block").orderBy("at")) - 1)
+    number = (F.col("start") + F.col("place")).cast("long")
+    return within.join(starts, ["log_id", "block"]).select("log_id", number.alias("line_id"), number.alias("line_num"), "text")
 
 
 def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -100,3 +109,52 @@ def split_alternatives(lines: DataFrame) -> DataFrame:
     """Alternatives of each line, which are separated and may be ended by `;`."""
     each = lines.select("log_id", "line_id", F.posexplode(F.split("text", ";")).alias("alternative", "value"))
     return each.select("log_id", "line_id", F.col("alternative").cast("long").alias("alternative"), F.trim("value").alias("summary")).where("summary <> ''")
+
+
+def read_structured_table(spark: SparkSession, path: str, headers: tuple[str, ...] = ("Content",)) -> DataFrame:
+    """A table of structured lines as the sink writes it: LineId, the headers of its format, EventId, EventTemplate and ParameterList (an array again)."""
+    kind = ", ".join(["LineId long", *[f"`{h}` string" for h in headers], "EventId string", "EventTemplate string", "ParameterList string"])
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=True, schema=kind)
+    listed = F.when(F.col("ParameterList").startswith('["'), F.from_json("ParameterList", "array<string>")).otherwise(decode_list(F.col("ParameterList")))
+    return raw.withColumn("ParameterList", listed)
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """A distance matrix that was written as a table of pairs: log_id, i, j and d."""
+    return spark.read.parquet(path).select("log_id", "i", "j", "d")
+
+
+def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
+    """The table at a path, or what compute() gives, written there first. A table that wasn't written to its end is made anew."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_hdf5(spark: SparkSession, path: str, attributes: tuple[str, ...], ids: DataFrame | None = None) -> DataFrame:
+    """file, id and the attributes (as strings) of the top groups of HDF5 files, of the listed ids (column id) only, if given.
+
+    Files reach the tasks as bytes, so any store will do. Needs the format's library on the executors.
+    """
+    try:
+        import h5py  # noqa: F401
+    except ImportError as e:
+        raise ImportError("reading HDF5 needs h5py") from e
+    import pandas as pd
+
+    def read(batches):
+        import io
+
+        import h5py
+
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                with h5py.File(io.BytesIO(content), "r") as f:
+                    rows += [(file, name, *[None if a not in group.attrs else str(group.attrs[a]) for a in attributes]) for name, group in f.items()]
+            yield pd.DataFrame(rows, columns=["file", "id", *attributes])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, ", ".join(f"`{c}` string" for c in ("file", "id", *attributes)))
+    return found if ids is None else found.join(ids.select("id").distinct(), "id", "left_semi")
