@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,12 +19,17 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one, set for checkpoint() too."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in a session of one process, a local one, set for checkpoint() too.
+
+    On a cluster a local folder would be another one for each executor, so the setting is asked for.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             found = existing.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = os.path.join(tempfile.gettempdir(), "linewright-checkpoints")
             spark.sparkContext.setCheckpointDir(found)
@@ -77,6 +83,14 @@ def _sweep(spark: SparkSession, app: str) -> None:
             return
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables of this application that are still there; call it between queries, once their results are no longer read."""
+    app = spark.sparkContext.applicationId
+    for path in _written.get(app, [])[:]:
+        _delete(spark, path)
+        _written[app].remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
