@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +75,46 @@ def cluster_summary(df: DataFrame, by: str = "log_id") -> DataFrame:
     )
 
 
+#: Ranges of values that are counted at a time while a quantile is narrowed down.
+RANGES = 512
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The interpolated quantile of all rows' values; None without values.
+
+    Counts of RANGES ranges reach the driver at a time, and the range that holds the rank is divided again, until it is
+    one value: no task gathers the values.
+    """
+    v = F.col(value).cast("double")
+    low, high, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        a, b, before = low, high, 0
+        while a < b:
+            width = (b - a) / RANGES
+            cell = F.least(F.floor((v - a) / width), F.lit(RANGES - 1)) if width else F.when(v > a, 1).otherwise(0)
+            cells = df.where(v.between(a, b)).groupBy(cell.alias("cell")).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("cell").collect()
+            for r in cells:
+                if before + r["n"] > rank:
+                    a, b = r["low"], r["high"]
+                    break
+                before += r["n"]
+        return a
+
+    place = q * (n - 1)
+    lower, upper = at(math.floor(place)), at(math.ceil(place))
+    return lower + (upper - lower) * (place - math.floor(place))
+
+
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, least, quartiles (interpolated) and largest."""
+    """Count, mean, sample deviation, least, quartiles (interpolated) and largest, of each group or of all rows."""
     v = F.col(value).cast("double")
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = {c: F.percentile(v, F.lit(q)) if by else F.lit(exact_quantile(df, value, q)).cast("double") for c, q in quarters.items()}
     return df.groupBy(*(by or [])).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.25)).alias("q25"),
-        F.percentile(v, F.lit(0.5)).alias("q50"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max"),
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[x.alias(c) for c, x in found.items()], F.max(v).alias("max"),
     )
 
 
@@ -90,11 +126,10 @@ def best_per_key(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFr
 
 def extremes(df: DataFrame, key: str, value: str) -> DataFrame:
     """The keys with the least, the largest and the most median value; ties go to the least key."""
-    middle = df.agg(F.percentile(value, F.lit(0.5)).alias("m"))
-    with_middle = df.crossJoin(middle)  # one row
-    return with_middle.agg(
+    middle = F.lit(exact_quantile(df, value, 0.5))
+    return df.agg(
         F.min(F.struct(value, key))[key].alias("at_min"), F.min(F.struct((-F.col(value)).alias("v"), key))[key].alias("at_max"),
-        F.min(F.struct(F.abs(F.col(value) - F.col("m")).alias("v"), key))[key].alias("at_median"),
+        F.min(F.struct(F.abs(F.col(value) - middle).alias("v"), key))[key].alias("at_median"),
     )
 
 

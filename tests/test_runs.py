@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linewright.functions import text, vectors
-from linewright.operators import clustering, experiments, pipeline, topics
+from linewright.operators import clustering, experiments, metrics, pipeline, topics
 from linewright.sources import lines, sinks
 
 
@@ -159,3 +159,14 @@ def test_plans_read_pairs_once(spark):
     plan = pipeline.weight_search.__doc__ and experiments.grid_scores(
         spark.createDataFrame([("a", 0.1, 0.2, 0.3)], "log_id string, d_var double, d_emb double, d_line double"), experiments.weight_grid(spark, [0.0, 1.0]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [log_id") > plan.index("Join Cross") if "Join Cross" in plan else "Aggregate [log_id" in plan
+
+
+def test_quantiles_are_narrowed_down(spark):
+    rng = np.random.default_rng(5)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 40 + [6.0] * 39, rng.lognormal(0, 4, 3001).tolist(), [0.0, 5e-324, 1e300]):
+        frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        for q in (0.25, 0.5, 1.0):
+            assert metrics.exact_quantile(frame, "v", q) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert metrics.exact_quantile(frame.where("false"), "v", 0.5) is None
+    row = metrics.describe(frame, "v").first()
+    assert (row["count"], row["q50"]) == (3, 5e-324)
