@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: toxic documents go, one document of
 each group of near-duplicates stays, documents with benchmark passages go, personal data is replaced by its kind, and
-the texts become ids. Null and empty texts pass the filters; an empty table gives an empty table at every stage.
+the texts become ids. Null and empty texts pass the filters; an empty table gives an empty table at every stage. Texts
+of any length are taken whole. Rows that repeat are judged alike and go or stay together; of near-duplicates that tie, the
+least doc_id stays, with all its rows, and rows without a doc_id are no one's duplicates. Every stage but the last gives
+back the columns that it got, with their values, whatever their names; the last puts n_tokens and ids in place of the text.
 """
 
 from __future__ import annotations
