@@ -20,15 +20,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from linewright.llm._common import slices
+from linewright.llm._common import released, slices
 from linewright.plans.lineage import ship_package
 
 NO_RANK = np.int32(2**31 - 1)
 PAD = np.int32(-1)
 #: Rows of a matrix, and the longest piece that goes into one; a longer piece is merged with a heap, in n log n.
-MATRIX_CELLS, LONGEST_ROW = 1 << 19, 256
+MATRIX_CELLS, LONGEST_ROW = 1 << 17, 256
 #: Bytes of text in a slice, and pieces kept from slice to slice.
-SLICE_BYTES, KEPT_PIECES = 8 << 20, 300_000
+SLICE_BYTES, KEPT_PIECES = 1 << 20, 100_000
 
 
 class PairRanks:
@@ -226,7 +226,7 @@ def _run(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text: st
     ship_package(spark)
     keep = [c for c in docs.columns if c != text and c not in added.fieldNames()]
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
-    return docs.select(*keep, text).mapInArrow(_mapper(path, pattern, text, keep, to_arrow_schema(schema), digests), schema)
+    return docs.select(*keep, text).mapInArrow(released(_mapper(path, pattern, text, keep, to_arrow_schema(schema), digests)), schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewright.llm._common import bucket_of, slices
+from linewright.llm._common import aside, bucket_of, released, slices
 from linewright.plans.lineage import ship_package
 
 #: Labelled documents that a model is fitted on, at most, of each label; and the features that it may keep.
@@ -29,7 +29,7 @@ LIKELY = 0.7
 ASSOCIATED = 20.0
 SENTENCE_END = re.compile(r"[.!?\n]+")
 EDGE = ".,;:!?\"'()[]{}<>|&*#-_/\\"
-SLICE_BYTES, KEPT_WORDS = 8 << 20, 400_000
+SLICE_BYTES, KEPT_WORDS = 1 << 20, 150_000
 
 
 def features(word: str) -> list[str]:
@@ -191,7 +191,7 @@ def score_toxicity(docs: DataFrame, model: dict[str, float]) -> DataFrame:
     keep = [c for c in docs.columns if c not in added.fieldNames()]
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES entries
-    return docs.select(*keep).mapInArrow(_mapper(sent, keep, to_arrow_schema(schema)), schema)
+    return docs.select(*keep).mapInArrow(released(_mapper(sent, keep, to_arrow_schema(schema))), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,4 +205,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below LIKELY, with their own columns."""
-    return score_toxicity(docs, train(docs, labels)).where(F.col("tox_score") < LIKELY).select(*docs.columns)
+    own, back = aside(docs, ("tox_score", "n_sentences", "worst_score", "worst_sentence"))
+    return score_toxicity(own, train(docs, labels)).where(F.col("tox_score") < LIKELY).select(*back)

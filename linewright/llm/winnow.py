@@ -2,9 +2,10 @@
 
 Both sides are cut into words; every run of K words has a hash, and the least hash of each W consecutive runs is kept
 with its place (the rightmost of equals). Two texts that share W + K - 1 words keep the same hash at the same place in
-them, so joining on the hash and extending each hit in both directions finds every shared span of that length. Spans of
-at least `span` words are hits. Benchmark items shorter than that are one window each, found through all runs of the
-document, not only the kept ones.
+them, so joining on the hash finds every shared span of that length: each hit is extended over the windows of `span`
+words that the kept run lies in, and windows that occur in an item add up to spans. A text that repeats itself costs no
+more than any other, as each window is looked up once. Benchmark items shorter than a window are one window each, found
+through all runs of the document, not only the kept ones.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewright.llm._common import bench_words, slices
+from linewright.llm._common import aside, bench_words, released, slices
 from linewright.plans.lineage import ship_package
 
 SPAN, RUN = 10, 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of document text in a slice; words of the benchmark in a block, each block broadcast by itself.
-SLICE_BYTES, BLOCK_WORDS = 8 << 20, 2_000_000
+SLICE_BYTES, BLOCK_WORDS = 1 << 20, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,100 +59,78 @@ def kept_places(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
+class Windows:
+    """Distinct windows of one length: their hashes in order, a place of each in the items' words, and the items of each."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        hashes, places, items = hashes[order], places[order], items[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])])
+        hashes, places, self.items = hashes[new], places[new], items[new]
+        self.first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        self.hashes, self.places = hashes[self.first], places[self.first]
+        self.counts = np.diff(np.append(self.first, len(hashes)))
+
+    def occurring(self, found: np.ndarray, at: np.ndarray, length: int, ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places in ids with the hashes of their windows, those that hold one of these windows, word by word; and which."""
+        which = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        on = self.hashes[which] == found
+        at, which = at[on], which[on]
+        same = np.ones(len(at), bool)
+        for i in range(length):
+            same &= ids[at + i] == words[self.places[which] + i]
+        return at[same], which[same]
+
+
 class Fingerprints:
-    """The fingerprints of a block of benchmark items, ready to be sent to executors."""
+    """The fingerprints and windows of a block of benchmark items, ready to be sent to executors."""
 
     def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN, k: int = RUN):
         self.span, self.k = span, k
         self.vocabulary: dict[bytes, int] = {}
         self.names: list[object] = []
-        words, starts, ends = [], [], []
+        by_length: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        words: list[np.ndarray] = []
+        size = 0
         for name, text in items:
-            found = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in bench_words(text)]
-            if found:
+            found = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in bench_words(text)], np.int64)
+            if len(found):
+                by_length.setdefault(min(span, len(found)), []).append((size, found, len(self.names)))
                 self.names.append(name)
-                starts.append(len(words))
-                words += found
-                ends.append(len(words))
-                words.append(0)
-        self.words = np.array(words, np.int64)
-        self.item = np.repeat(np.arange(len(starts)), [e + 1 - s for s, e in zip(starts, ends, strict=True)]) if starts else np.zeros(0, np.int64)
-        self.lengths = np.array([e - s for s, e in zip(starts, ends, strict=True)], np.int64)
-        long_hash, long_place = [], []
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[int]] = {}
-        for s, e in zip(starts, ends, strict=True):
-            if e - s >= span:
-                h = run_hashes(self.words[s:e], k)
-                at = kept_places(h, span - k + 1)
-                long_hash.append(h[at])
-                long_place.append(at + s)
-            else:
-                by_length.setdefault(e - s, []).append(s)
-        self.hashes, self.places = self._sorted(long_hash, long_place)
-        for n, at in by_length.items():  # of a short item, the hash of all its words
-            self.short[n] = self._sorted([run_hashes(self.words[s : s + n], n) for s in at], [np.array([s]) for s in at])
-
-    @staticmethod
-    def _sorted(hashes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h, p = np.concatenate(hashes), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
-        return h[order], p[order]
-
-
-def _pairs(found: np.ndarray, at: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document place with each benchmark place of the same hash."""
-    low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-    n = high - low
-    left = np.repeat(at, n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return left, places[np.repeat(low, n) + offset]
-
-
-def hits(prints: Fingerprints, ids: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first word, word after the last, item) of each shared span in ids; 0 separates documents, -1 is an unknown word."""
-    out: list[tuple[int, int, int]] = []
-    k, span, words = prints.k, prints.span, prints.words
-    if len(prints.hashes):
-        h = run_hashes(ids, k)
-        at = kept_places(h, span - k + 1)
+                words.append(found)
+                size += len(found)
+        self.words = np.concatenate([np.zeros(0, np.int64), *words])
+        self.windows: dict[int, Windows] = {}
+        for n, those in by_length.items():
+            hashes = [run_hashes(w, n) for _, w, _ in those]
+            places = [at + np.arange(len(h)) for (at, _, _), h in zip(those, hashes, strict=True)]
+            items_ = [np.full(len(h), i) for (_, _, i), h in zip(those, hashes, strict=True)]
+            self.windows[n] = Windows(*(np.concatenate(x) for x in (hashes, places, items_)))
+        kept = [(h := run_hashes(w, k))[kept_places(h, span - k + 1)] for _, w, _ in by_length.get(span, ())]
+        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]))
+
+
+def hits(prints: Fingerprints, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """By length of windows: the places in ids at which a window of an item occurs, and which; 0 separates documents, -1 is an unknown word."""
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for n, windows in prints.windows.items():
+        if n < prints.span:
+            h = run_hashes(ids, n)
+            out.append((n, *windows.occurring(h, np.arange(len(h)), n, ids, prints.words)))
+            continue
+        h = run_hashes(ids, prints.k)
+        at = kept_places(h, n - prints.k + 1)
         at = at[np.isin(h[at], prints.hashes)]
-        left, right = _pairs(h[at], at, prints.hashes, prints.places)
-        shift = right - left
-        order = np.lexsort((left, shift))
-        end_of: dict[int, int] = {}
-        for p, q in zip(left[order].tolist(), right[order].tolist(), strict=True):
-            if p < end_of.get(q - p, -1):
-                continue  # inside the span that was found last on this diagonal
-            a, b, c, d = p, q, p, q
-            while a > 0 and b > 0 and ids[a - 1] > 0 and ids[a - 1] == words[b - 1]:
-                a, b = a - 1, b - 1
-            while c < len(ids) and d < len(words) and ids[c] > 0 and ids[c] == words[d]:
-                c, d = c + 1, d + 1
-            end_of[q - p] = c
-            if c - a >= span:
-                out.append((a, c, int(prints.item[q])))
-    for n, (hashes, places) in prints.short.items():
-        h = run_hashes(ids, n)
-        at = np.flatnonzero(np.isin(h, hashes))
-        for p, q in zip(*(x.tolist() for x in _pairs(h[at], at, hashes, places)), strict=True):
-            if (ids[p : p + n] == words[q : q + n]).all():
-                out.append((p, p + n, int(prints.item[q])))
+        starts = np.unique(at[:, None] - np.arange(n - prints.k + 1))
+        starts = starts[(starts >= 0) & (starts <= len(ids) - n)]
+        if len(starts):
+            whole = np.zeros(len(starts), np.uint64)
+            for i in range(n):
+                whole = whole * _MULTIPLIER + _mix(ids[starts + i].astype(np.uint64) + np.uint64(1))
+            out.append((n, *windows.occurring(_mix(whole), starts, n, ids, prints.words)))
     return out
 
 
-def _covered(spans: list[tuple[int, int]]) -> list[list[int]]:
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return merged
-
-
 def _mapper(sent, text: str, keep: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints: Fingerprints = sent.value
@@ -165,17 +144,27 @@ def _mapper(sent, text: str, keep: list[str], schema: pa.Schema):
                 counts.append(len(found))
                 ids += found
                 ids.append(0)
-            spans: list[list[tuple[int, int]]] = [[] for _ in starts]
-            items: list[set[int]] = [set() for _ in starts]
             edges = np.array(starts)
-            for a, b, item in hits(prints, np.array(ids, np.int64)):
-                doc = int(np.searchsorted(edges, a, "right")) - 1
-                spans[doc].append((a - starts[doc], b - starts[doc]))
-                items[doc].add(item)
+            change = np.zeros(len(ids) + 1, np.int64)
+            items: list[set[str]] = [set() for _ in starts]
+            for n, at, which in hits(prints, np.array(ids, np.int64)):
+                np.add.at(change, at, 1)
+                np.add.at(change, at + n, -1)
+                windows = prints.windows[n]
+                doc = np.searchsorted(edges, at, "right") - 1
+                for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
+                    first = windows.first[w]
+                    items[d].update(str(prints.names[i]) for i in windows.items[first : first + windows.counts[w]].tolist())
+            covered = np.concatenate([[False], np.cumsum(change) > 0])
+            turns = np.flatnonzero(covered[1:] != covered[:-1])
+            spans: list[list[list[int]]] = [[] for _ in starts]
+            for a, b in turns.reshape(-1, 2).tolist():
+                d = int(np.searchsorted(edges, a, "right")) - 1
+                spans[d].append([a - starts[d], b - starts[d]])
             columns = [part.column(c) for c in keep]
             columns.append(pa.array(counts, pa.int64()))
-            columns.append(pa.array([_covered(s) for s in spans], pa.list_(pa.list_(pa.int64()))))
-            columns.append(pa.array([sorted({str(prints.names[i]) for i in x}) for x in items], pa.list_(pa.string())))
+            columns.append(pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+            columns.append(pa.array([sorted(x) for x in items], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -201,25 +190,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
     def scan(rows: list, frame: DataFrame, kind: T.StructType, columns: list[str]) -> DataFrame:
         sent = spark.sparkContext.broadcast(Fingerprints([(r["item_id"] if r["item_id"] is not None else "null", r["text"]) for r in rows], span, k))
-        return frame.mapInArrow(_mapper(sent, "text", columns, to_arrow_schema(kind)), kind)
+        return frame.mapInArrow(released(_mapper(sent, "text", columns, to_arrow_schema(kind))), kind)
 
     if blocks == 1:
         return scan(benchmark.select("item_id", "text").collect(), source, schema, keep)
     from linewright.plans.lineage import materialize
 
-    keyed = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "winnow-rows")
-    narrow = T.StructType([T.StructField("_row", T.LongType())] + added.fields)
+    row = next(r for i in range(len(keep) + 1) if (r := f"row_{i}") not in {c.lower() for c in keep})
+    keyed = materialize(source.withColumn(row, F.monotonically_increasing_id()), "winnow-rows")
+    narrow = T.StructType([T.StructField(row, T.LongType())] + added.fields)
     parts = None
     for b in range(blocks):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        part = scan(rows, keyed.select("_row", "text"), narrow, ["_row"])
+        part = scan(rows, keyed.select(row, "text"), narrow, [row])
         parts = part if parts is None else parts.unionByName(part)
-    whole = parts.groupBy("_row").agg(
+    whole = parts.groupBy(row).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return keyed.join(whole, "_row").drop("_row")
+    return keyed.join(whole, row).drop(row)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -241,8 +231,8 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    found = find_contamination(docs, benchmark)
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    own, back = aside(docs, ("n_words", "hit_spans", "items"))
+    return find_contamination(own, benchmark).where(F.size("hit_spans") == 0).select(*back)
 
 
 def digest_of(items: list[str]) -> str:

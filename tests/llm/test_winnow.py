@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from linewright.llm import winnow
 from linewright.llm._common import bench_words
 
@@ -61,3 +64,32 @@ def test_empty_tables_and_clashes(spark):
     assert winnow.contamination_digest(d, b).first()["contaminated"] is False
     assert winnow.drop_contaminated(d, b).columns == ["doc_id", "text", "n_words"]
     assert winnow.contamination_digest(d.where("false"), b).count() == 0
+
+
+def test_repeated_words_cost_no_pairs():
+    import time
+
+    for n in (1, 2, 3, 9, 10, 11, 40):
+        prints = winnow.Fingerprints([(1, "a " * n), (2, "a " * 25 + "b"), (3, "a " * 2000)])
+        began = time.process_time()
+        found = {k: (at, which) for k, at, which in winnow.hits(prints, np.array([prints.vocabulary[b"a"]] * 20_000 + [0]))}
+        assert time.process_time() - began < 1
+        at, which = found[10]
+        assert at.tolist() == list(range(19_991)) and len(set(which.tolist())) == 1
+        assert n >= 10 or found[n][0].tolist() == list(range(20_001 - n))
+
+
+def test_repeated_runs_match_brute_force(spark):
+    docs = [(1, "a " * 300), (2, "a b " * 80), (3, "a " * 9), (4, "b a " * 5), (5, "x " + "a b " * 5 + "y")]
+    items = [(1, "a " * 200), (2, "a b " * 6), (3, "b a " * 30), (4, "a"), (5, "b a b")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, winnow.contamination_digest(d, b).collect()), key=repr) == brute(docs, items)
+
+
+def test_own_columns_keep_their_values(spark):
+    b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a b", 5, "x", "i"), (2, "one two three", 6, "y", "j")], "doc_id long, text string, N_WORDS int, hit_spans string, items string")
+    assert list(map(tuple, winnow.drop_contaminated(d, b).collect())) == [(1, "a b", 5, "x", "i")]
+    more = spark.createDataFrame([(i, f"w{i} " * 20) for i in range(40)] + [(1, "one two three")], "item_id long, text string")
+    many = winnow.find_contamination(d.withColumn("row_0", F.lit(3)), more, block_words=50)
+    assert sorted((r["doc_id"], r["row_0"], len(r["items"])) for r in many.collect()) == [(1, 3, 0), (2, 3, 1)]
