@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm._common import aside, earlier, matches
 from linewright.plans.lineage import Table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,25 +47,6 @@ CUES = {
     "phone": r"phone|tel|call|mobile|cell|fax|telefon|teléfono|téléphone|whatsapp",
 }
 DENIALS = r"version|isbn|order|invoice|serial|\bref\b|section|\bid\b|build|release"
-_SPAN = "array<struct<s:int,e:int,v:string,l:string>>"
-
-
-def scan(text: Column, pattern: str, gate: str) -> Column:
-    """Start, end, value and left context of each match, leftmost and non-overlapping, in one pass over the pieces."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), F.lower(F.right(x["p"], F.lit(LEFT))).alias("l")))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], one)).alias("out"))
-
-    spans = F.aggregate(F.arrays_zip(pieces.alias("p"), found.alias("m")), start, step)["out"]
-    worth = F.contains(text, F.lit(gate)) if gate else text.rlike(pattern)
-    return F.when(worth, spans).otherwise(F.array().cast(_SPAN))
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -116,15 +98,31 @@ def votes(kind: str, x: Column, base: Column) -> list[Column]:
     return [_vote(base, ~base), gazetteer, _vote(x["l"].rlike(CUES[kind]), x["l"].rlike(DENIALS)), shape]
 
 
+def traits(x: Column) -> list[Column]:
+    """What the classifier sees of a span besides the votes: its length, its separators and its left neighbour, each in four kinds."""
+    v, before = x["v"], F.right(x["l"], F.lit(1))
+    length = F.least(F.lit(3), F.floor(F.length(v) / 7)).cast("int")
+    separators = F.when(v.rlike("[@(]"), 3).when(v.contains("-"), 2).when(v.rlike("[ .]"), 1).otherwise(0)
+    left = F.when(before.rlike("[A-Za-z0-9]"), 3).when(before.rlike("[\\x20\\t]"), 1).when(before.rlike("[^\\s]"), 2).otherwise(0)
+    return [length, separators, left]
+
+
+BALLOTS, TRAITS = 4, 3
+
+
 def _judged(kind: str, strict: bool):
-    """Of a match: where it is, whether it is a base span, and the votes. A loose match has no vote by its pattern."""
+    """Of a match: where it is, whether it is a base span, the votes and the traits. A loose match has no vote by its pattern."""
 
     def struct(x: Column) -> Column:
         base = valid(kind, x["v"]) if strict else F.lit(False)
+        x = {"s": x["s"], "e": x["e"], "v": x["v"], "l": F.lower(x["l"])}
         ballots = votes(kind, x, base)
         if not strict:
             ballots[0] = F.lit(0)
-        return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), base.alias("base"), *[b.alias(f"v{i}") for i, b in enumerate(ballots)])
+        return F.struct(
+            x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), base.alias("base"),
+            *[b.alias(f"v{i}") for i, b in enumerate(ballots)], *[t.alias(f"t{i}") for i, t in enumerate(traits(x))],
+        )
 
     return struct
 
@@ -134,17 +132,15 @@ def _of_kind(i: int):
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all of docs) with `_found`: every candidate's start, kind (its place in KINDS), end, base and votes, in order."""
+    """The columns to keep (all of docs) with `_found`: every candidate's start, kind (its place in KINDS), end, base, votes and traits, in order."""
     t = F.coalesce(F.col(text), F.lit(""))
-    sources = [(k, BASE[k], GATE[k], True) for k in KINDS] + [(k, LOOSE[k], GATE[f"loose_{k}"], False) for k in LOOSE]
-    scanned = docs.select("*", *[scan(t, p, g).alias(f"_{'base' if b else 'loose'}_{k}") for k, p, g, b in sources])
-    arrays = [F.transform(F.col(f"_{'base' if b else 'loose'}_{k}"), _judged(k, b)) for k, _, _, b in sources]
+    sources = {f"_base_{k}": (k, BASE[k], GATE[k], True) for k in KINDS} | {f"_loose_{k}": (k, LOOSE[k], GATE[f"loose_{k}"], False) for k in LOOSE}
+    worth = lambda pattern, gate: F.contains(t, F.lit(gate)) if gate else t.rlike(pattern)
+    scanned = matches(docs, t, {name: (p, worth(p, g)) for name, (_, p, g, _) in sources.items()}, LEFT, 0)
+    arrays = [F.transform(F.col(name), _judged(k, base)) for name, (k, _, _, base) in sources.items()]
     return scanned.select(*(docs.columns if keep is None else keep), F.array_sort(F.concat(*arrays)).alias("_found"))
 
 
-BALLOTS = 4
-
-
 def expectation_maximisation(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[int, tuple[int, ...]], float]:
     """Chance that a candidate of a kind with these votes is personal data, from counts of (kind, votes)."""
     out = {}
@@ -168,37 +164,48 @@ def expectation_maximisation(table: list[tuple[int, tuple[int, ...], int]], roun
     return out
 
 
-def span_classifier(table: list[tuple[int, tuple[int, ...], int]], soft: dict[tuple[int, tuple[int, ...]], float]) -> dict[int, list[float]]:
-    """Weights by kind of a logistic classifier of the votes, with its bias last, fitted to the soft labels (Newton)."""
+def _inputs(votes: tuple[int, ...], kinds: tuple[int, ...]) -> list[float]:
+    return [*votes, *[float(t == i) for t in kinds for i in (1, 2, 3)], 1.0]
+
+
+def span_classifier(table: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], soft: dict[tuple[int, tuple[int, ...]], float]) -> dict[int, list[float]]:
+    """Weights by kind of a logistic classifier of votes and traits, with its bias last, fitted to the soft labels (Newton). table: kind, votes, traits and count."""
     out = {}
-    for kind in {k for k, _, _ in table}:
-        rows = [(v, n) for k, v, n in table if k == kind]
-        x = np.array([[*v, 1] for v, _ in rows], float)
-        n = np.array([c for _, c in rows], float)
-        y = np.array([soft[kind, v] for v, _ in rows])
-        w = np.zeros(BALLOTS + 1)
+    for kind in {x[0] for x in table}:
+        rows = [(v, t, n) for k, v, t, n in table if k == kind]
+        x = np.array([_inputs(v, t) for v, t, _ in rows], float)
+        n = np.array([c for *_, c in rows], float)
+        y = np.array([soft[kind, v] for v, _, _ in rows])
+        w = np.zeros(x.shape[1])
         n = n / n.max()
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(BALLOTS + 1)
+            h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
             w = w + np.clip(np.linalg.solve(h, x.T @ (n * (y - p)) - 0.01 * w), -2, 2)
         out[kind] = w.tolist()
     return out
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all of docs, but for `_found` and `pii`) with `pii`: array of start, kind, end, base, in order of start and kind.
+    """The columns to keep (all of docs) with `pii`: array of start, kind, end, base, in order of start and kind.
 
     The candidates are written to the shared folder once, and read for the votes and for the result. Null and empty
-    texts have no spans; repeated rows and rows without an id are found one by one. An empty table trains nothing.
+    texts have no spans, very long ones are scanned whole; repeated rows and rows without an id are found one by one. Of
+    spans that overlap, base ones stay and others give way to them. Columns of docs named `pii` or `_found` are replaced.
+    An empty table trains nothing.
     """
-    own = [c for c in docs.columns if c not in ("_found", "pii")]
+    own = [c for c in docs.columns if c.lower() not in ("_found", "pii")]
     kept = own if keep is None else keep
     found = Table(candidates(docs.select(*own), text, kept), "pii-candidates").df
-    ballots = [f"v{i}" for i in range(BALLOTS)]
-    counted = found.select(F.explode("_found").alias("x")).select("x.k", *[f"x.{b}" for b in ballots]).groupBy("k", *ballots).agg(F.count(F.lit(1)).alias("n"))
-    table = [(r["k"], tuple(r[b] for b in ballots), r["n"]) for r in counted.collect()]  # at most 4 kinds * 3 ** 4 votes
-    weights = span_classifier(table, expectation_maximisation(table))
+    ballots, kinds = [f"v{i}" for i in range(BALLOTS)], [f"t{i}" for i in range(TRAITS)]
+    counted = found.select(F.explode("_found").alias("x")).select("x.k", *[f"x.{b}" for b in ballots + kinds]).groupBy("k", *ballots, *kinds).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.collect()  # at most 4 kinds * 3 ** 4 votes * 4 ** 3 traits
+    table = [(r["k"], tuple(r[b] for b in ballots), tuple(r[t] for t in kinds), r["n"]) for r in rows]
+    by_votes: dict[tuple[int, tuple[int, ...]], int] = {}
+    for k, v, _, n in table:
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    soft = expectation_maximisation([(k, v, n) for (k, v), n in sorted(by_votes.items())])
+    weights = span_classifier(sorted(table), soft)
 
     def accepted(x: Column) -> Column:
         score = F.lit(-1.0)
@@ -206,14 +213,19 @@ def find_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             own = F.lit(w[-1])
             for b, c in zip(ballots, w, strict=False):
                 own = own + x[b] * c
+            for j, t in enumerate(kinds):
+                for i in (1, 2, 3):
+                    own = own + F.when(x[t] == i, w[BALLOTS + 3 * j + i - 1]).otherwise(0.0)
             score = F.when(x["k"] == kind, own).otherwise(score)
         return x["base"] | (score > 0)
 
-    def apart(x: Column) -> Column:  # an added span gives way to base spans that it overlaps
-        return x["base"] | ~F.exists("_found", lambda y: y["base"] & (y["s"] < x["e"]) & (x["s"] < y["e"]))
-
-    chosen = F.filter("_found", lambda x: accepted(x) & apart(x))
-    return found.select(*kept, F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base"))).alias("pii"))
+    # an added span gives way to base spans that it overlaps: those before it that end, and those after it that begin, too late or soon
+    far = 2**31 - 1
+    ends = earlier(F.transform("_found", lambda x: F.when(x["base"], x["e"]).otherwise(0)), F.greatest)
+    backward = earlier(F.reverse(F.transform("_found", lambda x: F.when(x["base"], x["s"]).otherwise(far))), F.least, far)
+    told = F.transform(F.arrays_zip(F.col("_found").alias("x"), ends.alias("e"), F.reverse(backward).alias("s")), lambda z: F.struct(z["x"].alias("x"), (z["x"]["base"] | ((z["e"] <= z["x"]["s"]) & (z["s"] >= z["x"]["e"]))).alias("apart")))
+    chosen = F.filter(told, lambda z: z["apart"] & accepted(z["x"]))
+    return found.select(*kept, F.transform(chosen, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["k"].alias("k"), z["x"]["e"].alias("e"), z["x"]["base"].alias("base"))).alias("pii"))
 
 
 def _listed(spans: Column) -> Column:
@@ -229,20 +241,34 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
 
 
-def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets, and n_chars (where there) counted anew."""
-    found = find_pii(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+#: Spans of a text that are replaced in one go.
+REPLACED = 64
+
 
-    def step(a: Column, x: Column) -> Column:
-        before = F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"])
-        return F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(a["out"], before, F.get(names, x["k"])).alias("out"))
-        )
+def redact_pii(docs: DataFrame) -> DataFrame:
+    """docs with every span replaced by its kind in brackets, and n_chars (where there) counted anew. Spans that overlap become one, named by the first.
 
-    folded = F.aggregate("pii", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("pii") > 0, folded).otherwise(F.col("text")))
+    All columns keep their names and values, whatever their names.
+    """
+    own, back = aside(docs, ("_found", "pii", "_kept", *[f"_base_{k}" for k in KINDS], *[f"_loose_{k}" for k in LOOSE]))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    ends = earlier(F.transform("pii", lambda x: x["e"]), F.greatest)
+    zipped = F.arrays_zip(F.col("pii").alias("x"), ends.alias("at"))
+    # a span that begins inside an earlier one goes with it
+    kept = F.transform(F.filter(zipped, lambda z: z["x"]["s"] >= z["at"]), lambda z: F.struct(z["at"].alias("at"), z["x"]["s"].alias("s"), F.get(names, z["x"]["k"]).alias("name")))
+    found = find_pii(own).withColumn("_kept", kept)
+    text, last = F.col("text"), F.floor((F.size("_kept") - 1) / REPLACED).cast("int")
+
+    def block(b: Column) -> Column:  # the text up to the block's last span is cut out once
+        spans = F.slice("_kept", b * REPLACED + 1, F.lit(REPLACED))
+        first, end = F.get(spans, F.lit(0))["at"], F.element_at(spans, -1)["s"]
+        cut = F.struct(F.substring(text, first + 1, end - first).alias("t"), first.alias("at"))
+        part = lambda c: F.array_join(F.transform(spans, lambda x: F.concat(F.substring(c["t"], x["at"] - c["at"] + 1, x["s"] - x["at"]), x["name"])), "")
+        return F.get(F.transform(F.array(cut), part), F.lit(0))
+
+    rest = F.substring(text, F.array_max(F.transform("pii", lambda x: x["e"])) + 1, F.length(text))
+    folded = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), block), ""), rest)
+    out = found.withColumn("text", F.when(F.size("pii") > 0, folded).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)

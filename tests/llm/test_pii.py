@@ -75,7 +75,7 @@ def test_no_python_on_executors(spark, sf_dir):
 def test_reliability_follows_agreement():
     table = [(0, (1, 1, 0, 1), 90), (0, (-1, -1, 0, -1), 60), (0, (0, 1, 1, 1), 10), (0, (0, -1, -1, 0), 10)]
     soft = pii.expectation_maximisation(table)
-    w = pii.span_classifier(table, soft)[0]
+    w = pii.span_classifier([(k, v, (0, 1, 2), n) for k, v, n in table], soft)[0]
     assert soft[0, (1, 1, 0, 1)] > 0.9 and soft[0, (-1, -1, 0, -1)] < 0.1 and w[0] > 0 and w[1] > 0
 
 
@@ -84,3 +84,32 @@ def test_loose_phones_need_no_hyphen(spark):
     rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).collect()
     got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["_found"] if x["k"] == 3] for r in rows}
     assert got == {0: [(5, 17)], 1: [(6, 18)], 2: [(4, 18)], 3: [(0, 13)], 4: [(5, 17)], 5: []}
+
+
+def test_very_many_matches(spark):
+    """Texts with tens of thousands of matches, which take time in proportion."""
+    import time
+
+    times = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"x{i}@site.com, 212-555-{i % 9000 + 1000} é" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row, out = pii.pii_digest(docs).first(), pii.redact_pii(docs).first()
+        times.append(time.perf_counter() - began)
+        assert row["n_email"] == n and out["text"] == " ".join(["[EMAIL], [PHONE] é"] * n)
+    assert times[1] < 8 * times[0] + 5
+
+
+def test_overlaps_and_own_columns(spark):
+    texts = ["+1 4111 1111 1111 1111 2 and 1.2.3.4@b.co 10.0.0.1", "a@b.co" * 3, "(212) 555-0147@x.org", "call me at 212 555 0147"]
+    docs = spark.createDataFrame([(i, t, "p", 7, "q") for i, t in enumerate(texts)], "doc_id long, text string, pii string, _found int, _base_email string")
+    out = {r["doc_id"]: r for r in pii.redact_pii(docs).collect()}
+    spans = {r["doc_id"]: [tuple(x) for x in r["pii"]] for r in pii.find_pii(docs.select("doc_id", "text")).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for s, k, e, _ in spans[i]:
+            if s >= at:
+                want += t[at:s] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, e)
+        assert (out[i]["text"], out[i]["pii"], out[i]["_found"], out[i]["_base_email"]) == (want + t[at:], "p", 7, "q")
