@@ -13,10 +13,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linewright.llm.secrets import find_secrets, seed_findings, train
+    from linewright.llm.secrets import find_secrets, lexicon, seed_findings, train
 
-    model = train(seed_findings(spark))
-    return find_secrets(table(spark, sf_dir, "documents"), model, path="source").drop("value")
+    docs = table(spark, sf_dir, "documents")
+    known = lexicon(docs)
+    return find_secrets(docs, train(seed_findings(spark), known), known, path="source").drop("value")
 
 
 def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
