@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewright.llm._common import aside
 from linewright.plans.lineage import materialize
 
 OVERHEAD = 16
@@ -128,13 +129,14 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """All columns of docs, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null: no such law holds).
 
     size is the text's UTF-8 bytes plus 16; a null text counts as an empty one. Equal
-    texts are in one shard. Slots of a shard run from 0 without gaps; rows that are equal in all columns used (repeated
+    texts are in one shard, and groups over 4,095 bytes are packed by a size rounded up by less than 1/2048, so that shards differ by
+    that much more, at most, than exact sizes would let them. Slots of a shard run from 0 without gaps; rows that are equal in all columns used (repeated
     rows) are interchangeable. Columns of docs that clash with those added are replaced. An empty table gives an empty
     table; shards without rows don't appear.
     """
     spark = docs.sparkSession
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs, back = aside(docs.select(*[c for c in docs.columns if c.lower() not in added and c.lower() != "text"], "text"), ("_key", "_hot", "_run", "_r", "_first"))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.withColumns({"size": (F.length(raw) + OVERHEAD).cast("long"), "text_crc32": F.crc32(raw), "_key": F.md5(raw)})
     light = materialize(sized.drop("text"), "shard-rows")
@@ -174,12 +176,11 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     runs_each = max(1, min(4096, -(-rows // (shards * RUN_ROWS)) * 4))
     spread = materialize(whole.withColumn("_run", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(runs_each)).cast("int")), "shard-spread")
     each = spread.groupBy("shard", "_run").agg(F.count(F.lit(1)).alias("n"))
-    first = each.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = each.withColumn("_first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = spread.withColumn("_r", F.row_number().over(Window.partitionBy("shard", "_run").orderBy("doc_id", "_key")) - 1)
     out = numbered.join(F.broadcast(first.drop("n")), ["shard", "_run"])  # at most shards * 4096 rows
-    keep = [c for c in docs.columns if c != "text"]
     return out.select(
-        *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_r") + F.col("first")).cast("long").alias("slot"),
+        *back[:-1], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_r") + F.col("_first")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

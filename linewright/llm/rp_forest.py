@@ -28,6 +28,8 @@ TREES, DEPTH, SHARE = 16, 8, 0.8
 LEAST = 4000
 #: Vectors that the medians are taken of, at most (about); vectors, and queries, of a leaf in a block.
 SAMPLE, BLOCK = 20_000, 4096
+#: Candidates beyond the k that a block returns, so that scores equal but for their last bits all come along.
+SPARE = 3
 
 
 @dataclass
@@ -134,11 +136,12 @@ def _meet(best: int):
             return pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64", "score": "float64"})
         vectors = vectors.sort_values("class")
         ids, q, v = vectors["class"].to_numpy(), _matrix(queries["vector"]), _matrix(vectors["vector"])
-        scores = _unit(q) @ _unit(v).T
+        q, v = _unit(q), _unit(v)
         k = min(best, len(ids))
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        top = np.argsort(-(q @ v.T), axis=1, kind="stable")[:, :k].ravel()
         rows = np.repeat(np.arange(len(q)), k)
-        return pd.DataFrame({"query": queries["query"].to_numpy()[rows], "class": ids[top.ravel()], "score": scores[rows, top.ravel()]})
+        # products of whole blocks may differ in their last bits with the block's shape: each score is summed in one order
+        return pd.DataFrame({"query": queries["query"].to_numpy()[rows], "class": ids[top], "score": (q[rows] * v[top]).sum(axis=1)})
 
     return run
 
@@ -190,7 +193,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES,
     left = reached.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
     right = index.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
     keys = ["tree", "leaf", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k + 1), "query long, class long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k + SPARE), "query long, class long, score double")
     found = found.groupBy("query", "class").agg(F.max("score").alias("score"))
     close = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("r") <= k + 1)
     close = materialize(close.drop("r"), "close")

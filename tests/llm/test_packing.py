@@ -62,3 +62,9 @@ def test_hot_group_nulls_and_clashes(spark):
     rest = sorted(weight.values())[:-1]
     assert rest[-1] <= rest[0] * 1.2
     assert packing.shard(d.where("false")).count() == 0
+
+
+def test_own_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 2, "k", 4, "f", True)], "doc_id long, text string, first int, _r int, _key string, _run int, _FIRST string, _hot boolean")
+    r = packing.shard(docs).first()
+    assert (r["first"], r["_r"], r["_key"], r["_run"], r["_FIRST"], r["_hot"], r["size"], r["slot"]) == (1, 2, "k", 4, "f", True, 17, 0)
