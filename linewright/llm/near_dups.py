@@ -41,6 +41,8 @@ BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2048, 2000, 2_000_000
 #: A full block, in the units that members' sizes are added up in.
 FULL = 1_000_000_000
 SLICE_BYTES = 1 << 20
+#: Ids that may be broadcast, at most; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 500_000
 #: Pairs of sketches that are compared at once.
 PAIRS = 20_000
 _rng = np.random.default_rng(20_240_229)
@@ -361,8 +363,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     involved = materialize(reps.select("rep", "doc_id", "sketch").join(shared.select("rep").distinct(), "rep", "left_semi"), "sketches")
 
     def sets_of(families: DataFrame) -> DataFrame:
-        ids = involved.join(families, "rep", "left_semi").select("doc_id").distinct()
-        sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(released(_shingles(to_arrow_schema(_SET))), _SET)
+        ids = materialize(involved.join(families, "rep", "left_semi").select("doc_id").distinct(), "family-ids")
+        few = ids.count() <= BROADCAST_IDS
+        sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text").mapInArrow(released(_shingles(to_arrow_schema(_SET))), _SET)
         return sets.join(families, "rep", "left_semi").dropDuplicates(["rep"])
 
     links = exact_links(shared, involved.select("rep", "sketch"), sets_of)

@@ -28,7 +28,7 @@ from linewright.llm import groups
 from linewright.llm._common import released, slices
 from linewright.llm.components import components
 from linewright.llm.groups import joined, pairs_within, ties, whole_groups
-from linewright.llm.near_dups import PERCENT, SHINGLE, filling, meet_blocks, rooted
+from linewright.llm.near_dups import BROADCAST_IDS, PERCENT, SHINGLE, filling, meet_blocks, rooted
 from linewright.llm.shingles import Runs, mix, text_words
 from linewright.plans.lineage import Table, materialize, ship_package
 
@@ -37,8 +37,6 @@ REACH, LEAST_WORDS = 5, 12
 LEAST_SHINGLES = 8
 #: Words within which a shingle must not recur for two overlapping paragraphs to be told apart by their places.
 NEARBY = 256
-#: Ids that may be broadcast, at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 20
 #: Members of a band that are compared in one task. A large band isn't dealt anew if that leaves this share of it together.
 BLOCK, TOGETHER = 8192, 0.7
