@@ -26,7 +26,8 @@ _WORD = "A-Za-z0-9+/_-"
 #: Tokens of 12 characters and more with a digit or with letters of both cases inside, and of 20 and more of any kind.
 TOKEN = rf"(?<![{_WORD}])(?:(?=[A-Za-z+/_-]*+[0-9])[{_WORD}]{{12,}}+|(?=[A-Z0-9+/_-]*+[a-z0-9+/_-]++[A-Z])[{_WORD}]{{12,}}+|[{_WORD}]{{20,}}+)={{0,2}}"
 #: What is assigned to a password, a token or a key: eight characters and more without space or quotes.
-ASSIGNED = r"(?<=[\s\"'=:])(?<=(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>=:][^\s\"'<>]{7,}+"
+CUE = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key)[\"']?\s{0,2}[=:]"
+ASSIGNED = rf"(?<=[\s\"'=:])(?<={CUE}\s{{0,2}}[\"']?)[^\s\"'<>=:][^\s\"'<>]{{7,}}+"
 HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 CANDIDATE = f"{HEADER}|{ASSIGNED}|{TOKEN}"
 #: Share of all words from which a word is in the dictionary, so that there are at most 1 / SHARE; words that may be broadcast.
@@ -177,8 +178,10 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each candidate: doc_id, path, start, end (code points, end exclusive), value, left and right."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     text = docs.select("doc_id", where.alias("path"), "text")
-    found = matches(text, F.col("text"), {"found": (CANDIDATE, F.col("text").rlike(CANDIDATE))}, SIDE, SIDE)
-    return found.select("doc_id", "path", F.explode("found").alias("x")).select("doc_id", "path", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.v").alias("value"), F.col("x.l").alias("left"), F.col("x.r").alias("right"))
+    cue = F.col("text").rlike(CUE)  # without one nothing can be assigned to it, and the look back from each place is left out
+    plain = f"{HEADER}|{TOKEN}"
+    found = matches(text, F.col("text"), {"found": (CANDIDATE, cue), "plain": (plain, ~cue & F.col("text").rlike(plain))}, SIDE, SIDE)
+    return found.select("doc_id", "path", F.explode(F.concat("found", "plain")).alias("x")).select("doc_id", "path", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.v").alias("value"), F.col("x.l").alias("left"), F.col("x.r").alias("right"))
 
 
 def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, known: Lexicon, path: str | None = None, least: float = LEAST) -> DataFrame:
