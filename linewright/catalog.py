@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import text, vectors
 from linewright.operators import clustering, distances, experiments, features, metrics, render, templates, topics
+from linewright.operators.blocks import Vectors
 from linewright.sources import lines as sources
 from linewright.streaming.windows import counts_by_window
 
@@ -87,6 +88,11 @@ def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances.cosine_pairs(vecs(spark, sf_dir), "vec", "line_id", "log_id")
 
 
+def near_vecs(spark: SparkSession, sf_dir: str) -> Vectors:
+    """The pairs of vec_pairs, not as rows."""
+    return Vectors(vecs(spark, sf_dir).select("log_id", "line_id", "vec"))
+
+
 # --- scans ---------------------------------------------------------------------------------------------------------
 
 
@@ -483,7 +489,7 @@ def kmeans_features(spark, sf_dir):
 
 @query()
 def agglomerative(spark, sf_dir):
-    return clustering.cluster_linkage(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 5)
+    return clustering.cluster_linkage(_points(spark, sf_dir), near_vecs(spark, sf_dir), 5)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewright.catalog import (
-    CONV, FULL, LINES, MASKS, TFIDF, TOKENS, VEC_PAIRS, VECS, WORDS, _points, _ranked_sql, _table, conv, docs, query, r6, vec_pairs, vecs,
+    CONV, FULL, LINES, MASKS, TFIDF, TOKENS, VEC_PAIRS, VECS, WORDS, _points, _ranked_sql, _table, conv, docs, near_vecs, query, r6, vec_pairs, vecs,
 )
 from linewright.functions import text
 from linewright.operators import clustering, distances, experiments, features, metrics, pipeline, topics

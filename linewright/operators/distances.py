@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.vectors import dot, norm, scale
+from linewright.operators import blocks
+from linewright.plans.lineage import materialize
 
 
 def pairs(df: DataFrame, columns: list[str], key: str = "line_id", by: str = "log_id") -> DataFrame:
@@ -125,17 +127,30 @@ def mirrored(p: DataFrame, by: str = "log_id") -> DataFrame:
     return p.unionByName(p.select(by, F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
+def closest_pairs(v: blocks.Vectors, k: int) -> DataFrame:
+    """by, rank, i, j and d: each log's k closest pairs by distance (to nine places), then i and j."""
+    w = Window.partitionBy(v.by).orderBy(F.round("d", 9), "i", "j")
+    top = blocks.closest_pairs(v, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return top.select(v.by, "rank", "i", "j", "d")
+
+
 def nearest_line(p: DataFrame, by: str = "log_id") -> DataFrame:
     """Of each line the nearest other one; ties go to the first."""
     best = mirrored(p, by).groupBy(by, "i").agg(F.min(F.struct("d", "j")).alias("b"))
     return best.select(by, F.col("i").alias("line_id"), F.col("b.j").alias("nearest"), F.col("b.d").alias("d"))
 
 
-def cumulative(p: DataFrame, by: str = "log_id") -> DataFrame:
+def cumulative(p: DataFrame | blocks.Vectors, by: str = "log_id") -> DataFrame:
+    if isinstance(p, blocks.Vectors):
+        return blocks.sums(p)
     return mirrored(p, by).groupBy(by, "i").agg(F.sum("d").alias("total"))
 
 
 def kth_nearest(p: DataFrame, k: int, by: str = "log_id") -> DataFrame:
     """The k-th smallest distance of each row of the matrix, its own 0 counted as the first."""
+    if isinstance(p, blocks.Vectors):
+        near = blocks.nearest_few(p, k - 1)
+        w = Window.partitionBy(by, "i").orderBy("d", "j")
+        return near.withColumn("r", F.row_number().over(w)).where(F.col("r") == k - 1).select(by, "i", "d")
     w = Window.partitionBy(by, "i").orderBy("d", "j")
     return mirrored(p, by).withColumn("r", F.row_number().over(w)).where(F.col("r") == k - 1).select(by, "i", "d")

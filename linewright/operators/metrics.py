@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import tokens
+from linewright.operators.blocks import Vectors, class_sums
 from linewright.operators.distances import mirrored
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame, by: str = "log_id") -> DataFrame:
+def silhouette(pairs: DataFrame | Vectors, labels: DataFrame, by: str = "log_id") -> DataFrame:
     """Mean silhouette of each log; 0 for the only member of a cluster; null where there is one cluster, or n of n."""
     sized = labels.groupBy(by, "cluster").agg(F.count(F.lit(1)).alias("size"))
     own = labels.join(sized, [by, "cluster"])
     to = own.select(by, F.col("line_id").alias("j"), F.col("cluster").alias("other"), F.col("size").alias("other_size"))
-    sums = mirrored(pairs.select(by, "i", "j", "d"), by).join(to, [by, "j"]).groupBy(by, "i", "other", "other_size").agg(F.sum("d").alias("s"))
+    if isinstance(pairs, Vectors):
+        labelled = pairs.features.select(by, "line_id", pairs.vector).join(labels.select(by, "line_id", "cluster"), [by, "line_id"])
+        sums = class_sums(Vectors(labelled, pairs.vector, pairs.metric, by), "cluster").join(sized.select(by, F.col("cluster").alias("other"), F.col("size").alias("other_size")), [by, "other"])
+    else:
+        sums = mirrored(pairs.select(by, "i", "j", "d"), by).join(to, [by, "j"]).groupBy(by, "i", "other", "other_size").agg(F.sum("d").alias("s"))
     mine = own.select(by, F.col("line_id").alias("i"), "cluster", "size").join(sums, [by, "i"], "left")
     each = mine.groupBy(by, "i", "size").agg(
         F.sum(F.when(F.col("other") == F.col("cluster"), F.col("s"))).alias("inner"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import TIMESTAMP, first_words, word_tokens
 from linewright.operators import clustering, distances, metrics, render, templates, topics
+from linewright.operators.blocks import Vectors, nearest_by_weights
 from linewright.operators.experiments import preference_trial, weight_grid
 from linewright.operators.features import sparse_cosine, tfidf
 
@@ -108,19 +109,33 @@ def nearest_agreement(parts: DataFrame, labels: DataFrame, triples: list[tuple[f
     names = [f"d{n}" for n in range(len(triples))]
     nearest = both.select("log_id", "i", "j", *grid_columns(triples)).groupBy("log_id", "i").agg(*[F.min(F.struct(F.round(c, 9).alias("d"), "j")).alias(c) for c in names])
     each = nearest.select("log_id", "i", F.posexplode(F.array(*[F.col(f"{c}.j") for c in names])).alias("run", "j"))
+    return _agreement(each, labels)
+
+
+def nearest_agreement_of_vectors(features: DataFrame, variable: str, labels: DataFrame, triples: list[tuple[float, float, float]], metric: str = "cosine") -> DataFrame:
+    """nearest_agreement of features(log_id, line_id, vec, a variable), block by block: d_var is 1 where the variable differs, d_line that of places."""
+    w = Window.partitionBy("log_id")
+    placed = features.select("log_id", "line_id", "vec", variable, (F.row_number().over(w.orderBy("line_id")) - 1).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    found = nearest_by_weights(Vectors(placed, "vec", metric), variable, "place", "n", triples)
+    best = found.groupBy("log_id", "i", "run").agg(F.min(F.struct("d", "j")).alias("b"))
+    return _agreement(best.select("log_id", "i", "run", F.col("b.j").alias("j")), labels)
+
+
+def _agreement(each: DataFrame, labels: DataFrame) -> DataFrame:
     mine = labels.select("log_id", F.col("line_id").alias("i"), F.col("label").alias("a"))
     other = labels.select("log_id", F.col("line_id").alias("j"), F.col("label").alias("b"))
     return each.join(mine, ["log_id", "i"]).join(other, ["log_id", "j"]).groupBy("run").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("score"))
 
 
-def weight_search(parts: DataFrame, labels: DataFrame, values: list[float], exact: bool = False) -> DataFrame:
-    """A row for each triple: run, alpha, beta, gamma, score, and the best triple so far (best_run, the first of equals)."""
-    from pyspark.sql import Window
+def weight_search(parts: DataFrame, labels: DataFrame, values: list[float], exact: bool = False, agreement: Callable[..., DataFrame] = nearest_agreement) -> DataFrame:
+    """A row for each triple: run, alpha, beta, gamma, score, and the best triple so far (best_run, the first of equals).
 
+    agreement: run and score of parts, labels and the triples; parts are what it takes.
+    """
     spark = parts.sparkSession
     triples = sorted((r["alpha"], r["beta"], r["gamma"]) for r in weight_grid(spark, values, exact).collect())
     table = spark.createDataFrame([(n, *t) for n, t in enumerate(triples)], "run int, alpha double, beta double, gamma double")
-    scored = table.join(nearest_agreement(parts, labels, triples), "run")
+    scored = table.join(agreement(parts, labels, triples), "run")
     so_far = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)  # a row for each triple
     return scored.withColumn("best_run", -F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("run")).alias("r"))).over(so_far)["r"])
 
