@@ -449,7 +449,7 @@ def _points(spark, sf_dir) -> DataFrame:
   root AS (SELECT log_id, i, least(i, min(j)) AS root FROM reach GROUP BY log_id, i)
   SELECT v.log_id, v.line_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY v.log_id ORDER BY root NULLS LAST) - 1 END AS cluster FROM vecs v LEFT JOIN root ON root.log_id = v.log_id AND root.i = v.line_id""")
 def dbscan_min2(spark, sf_dir):
-    return clustering.dbscan_pairs(_points(spark, sf_dir), vec_pairs(spark, sf_dir), EPS)
+    return clustering.dbscan_pairs(_points(spark, sf_dir), near_vecs(spark, sf_dir), EPS)
 
 
 @query(f"""WITH RECURSIVE {VEC_PAIRS}, near AS (SELECT log_id, i, j FROM m WHERE d <= 0.35), core AS (SELECT log_id, i FROM near GROUP BY ALL HAVING count(*) + 1 >= 3),
