@@ -465,7 +465,7 @@ def dbscan_general(spark, sf_dir):
 
 @query()
 def kmedoids(spark, sf_dir):
-    return clustering.cluster_medoids(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 5)
+    return clustering.cluster_medoids(_points(spark, sf_dir), near_vecs(spark, sf_dir), 5)
 
 
 @query()
