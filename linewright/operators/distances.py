@@ -61,10 +61,8 @@ def euclidean_pairs(df: DataFrame, vector: str, key: str, by: str) -> DataFrame:
 
 def late_interaction(tokens: DataFrame, by: str = "log_id", key: str = "line_id", vector: str = "vec") -> DataFrame:
     """For ordered pairs of lines: mean over i's vectors of the largest dot product with j's, turned round and scaled to [0, 1]."""
-    left = tokens.select(by, F.col(key).alias("i"), F.col("token").alias("t"), F.col(vector).alias("u"))
-    right = tokens.select(by, F.col(key).alias("j"), F.col(vector).alias("v"))
-    best = left.join(right, by).groupBy(by, "i", "j", "t").agg(F.max(dot(F.col("u"), F.col("v"))).alias("best"))
-    sim = best.groupBy(by, "i", "j").agg(F.avg("best").alias("sim"))
+    best = blocks.best_products(tokens.select(by, F.col(key).alias("line"), F.col("token").alias("line_id"), F.col(vector).alias("vec")), "line", by)
+    sim = materialize(best.groupBy(by, F.col("line").alias("i"), F.col("other").alias("j")).agg(F.avg("best").alias("sim")), "late-interaction")
     ends = sim.groupBy(by).agg(F.max("sim").alias("high"), F.min("sim").alias("low"))
     return sim.where("i <> j").join(ends, by).select(by, "i", "j", scale(F.col("high") - F.col("sim"), F.lit(0.0), F.col("high") - F.col("low")).alias("d"))
 
