@@ -195,7 +195,7 @@ def _links(spark, sf_dir):
 
 @query()
 def constrained_medoids(spark, sf_dir):
-    return clustering.cluster_medoids(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 5, links=_links(spark, sf_dir))
+    return clustering.cluster_medoids(_points(spark, sf_dir), near_vecs(spark, sf_dir), 5, links=_links(spark, sf_dir))
 
 
 @query()
