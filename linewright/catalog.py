@@ -369,7 +369,7 @@ def similar_pairs_ranked(spark, sf_dir):
 
 @query(f"WITH {VEC_PAIRS} SELECT log_id, i, round(sum(d), 6) AS total FROM m GROUP BY ALL")
 def cumulative_distance(spark, sf_dir):
-    return distances.cumulative(vec_pairs(spark, sf_dir)).withColumn("total", r6("total"))
+    return distances.cumulative(near_vecs(spark, sf_dir)).withColumn("total", r6("total"))
 
 
 @query(f"WITH {VEC_PAIRS}, r AS (SELECT log_id, i, d, row_number() OVER (PARTITION BY log_id, i ORDER BY d, j) AS r FROM m) SELECT log_id, i, round(d, 6) AS d FROM r WHERE r = 11")
