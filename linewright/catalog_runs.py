@@ -212,7 +212,7 @@ def linkage_of_features(spark, sf_dir):
 
 @query()
 def density_fewest_outliers(spark, sf_dir):
-    return clustering.density_grid(_points(spark, sf_dir), vec_pairs(spark, sf_dir))
+    return clustering.density_grid(_points(spark, sf_dir), near_vecs(spark, sf_dir))
 
 
 # --- topics and reports --------------------------------------------------------------------------------------------
