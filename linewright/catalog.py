@@ -494,7 +494,7 @@ def agglomerative(spark, sf_dir):
 
 @query()
 def hdbscan(spark, sf_dir):
-    return clustering.cluster_density(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 3)
+    return clustering.cluster_density(_points(spark, sf_dir), near_vecs(spark, sf_dir), 3)
 
 
 @query(f"""WITH {VEC_PAIRS}, z AS (SELECT log_id, label, count(*) AS size FROM vecs GROUP BY ALL), s AS (SELECT m.log_id, m.i, m.other, sum(m.d) AS s FROM m GROUP BY ALL),
