@@ -470,7 +470,7 @@ def kmedoids(spark, sf_dir):
 
 @query()
 def kmedoids_sweep(spark, sf_dir):
-    swept = clustering.sweep_medoids(_points(spark, sf_dir), vec_pairs(spark, sf_dir))
+    swept = clustering.sweep_medoids(_points(spark, sf_dir), near_vecs(spark, sf_dir))
     one = swept.select("log_id", "k", "silhouette", "objective").distinct()
     return metrics.best_per_key(one, ["log_id"], "silhouette", "k")
 
