@@ -503,7 +503,7 @@ def hdbscan(spark, sf_dir):
   SELECT a.log_id, CAST(count(DISTINCT label) AS BIGINT) AS k, round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM a JOIN b ON a.log_id = b.log_id AND a.line_id = b.i GROUP BY 1""")
 def silhouette(spark, sf_dir):
     labels = vecs(spark, sf_dir).select("log_id", "line_id", F.col("label").alias("cluster"))
-    return metrics.silhouette(vec_pairs(spark, sf_dir), labels).withColumn("silhouette", r6("silhouette"))
+    return metrics.silhouette(near_vecs(spark, sf_dir), labels).withColumn("silhouette", r6("silhouette"))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS x, sum(n) AS t FROM c),
