@@ -460,7 +460,7 @@ def dbscan_min2(spark, sf_dir):
   root AS (SELECT * FROM own UNION ALL SELECT * FROM border)
   SELECT v.log_id, v.line_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY v.log_id ORDER BY root NULLS LAST) - 1 END AS cluster FROM vecs v LEFT JOIN root ON root.log_id = v.log_id AND root.i = v.line_id""")
 def dbscan_general(spark, sf_dir):
-    return clustering.dbscan(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 0.35, 3)
+    return clustering.dbscan(_points(spark, sf_dir), near_vecs(spark, sf_dir), 0.35, 3)
 
 
 @query()
