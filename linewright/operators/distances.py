@@ -52,11 +52,9 @@ def cosine_pairs(df: DataFrame, vector: str, key: str, by: str, halved: bool = T
 
 
 def euclidean_pairs(df: DataFrame, vector: str, key: str, by: str) -> DataFrame:
-    """Euclidean distances between 0 (the least, a line's own) and 1 (the log's largest)."""
-    square = F.aggregate(F.zip_with(f"a_{vector}", f"b_{vector}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    p = pairs(df, [vector], key, by).select(by, "i", "j", F.sqrt(square).alias("raw"))
-    top = p.groupBy(by).agg(F.max("raw").alias("top"))
-    return p.join(top, by).select(by, "i", "j", scale(F.col("raw"), F.lit(0.0), F.col("top")).alias("d"))
+    """Euclidean distances between 0 (the least, a line's own) and 1 (the log's largest), in blocks: one pass for the largest, one for the pairs."""
+    v = blocks.Vectors(df.select(by, F.col(key).alias("line_id"), vector), vector, "euclid", by)
+    return blocks.pairs_within(v, top=materialize(blocks.largest(v), "largest-distances"))
 
 
 def late_interaction(tokens: DataFrame, by: str = "log_id", key: str = "line_id", vector: str = "vec") -> DataFrame:
