@@ -477,7 +477,7 @@ def kmedoids_sweep(spark, sf_dir):
 
 @query()
 def kmeans_rows(spark, sf_dir):
-    return clustering.cluster_matrix_rows(_points(spark, sf_dir), vec_pairs(spark, sf_dir), 5)
+    return clustering.cluster_matrix_rows(_points(spark, sf_dir), near_vecs(spark, sf_dir), 5)
 
 
 @query()
