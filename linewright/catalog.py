@@ -374,7 +374,7 @@ def cumulative_distance(spark, sf_dir):
 
 @query(f"WITH {VEC_PAIRS}, r AS (SELECT log_id, i, d, row_number() OVER (PARTITION BY log_id, i ORDER BY d, j) AS r FROM m) SELECT log_id, i, round(d, 6) AS d FROM r WHERE r = 11")
 def kth_nearest(spark, sf_dir):
-    return distances.kth_nearest(vec_pairs(spark, sf_dir), 12).withColumn("d", r6("d"))
+    return distances.kth_nearest(near_vecs(spark, sf_dir), 12).withColumn("d", r6("d"))
 
 
 # --- grids and samples ---------------------------------------------------------------------------------------------
