@@ -10,6 +10,7 @@ from linewright.catalog import (
 )
 from linewright.functions import text
 from linewright.operators import clustering, distances, experiments, features, metrics, pipeline, topics
+from linewright.operators.blocks import Vectors
 from linewright.sources import sinks
 
 # --- projections ---------------------------------------------------------------------------------------------------
@@ -207,7 +208,7 @@ def medoids_of_features(spark, sf_dir):
 def linkage_of_features(spark, sf_dir):
     v = vecs(spark, sf_dir)
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.when(x == F.col("label"), 1.0).otherwise(0.0))
-    return clustering.cluster_linkage(_points(spark, sf_dir), clustering.feature_pairs(v.withColumn("features", F.concat("vec", one_hot)), "features"), 5, "ward")
+    return clustering.cluster_linkage(_points(spark, sf_dir), Vectors(v.withColumn("features", F.concat("vec", one_hot)), "features", "euclid"), 5, "ward")
 
 
 @query()
