@@ -362,9 +362,7 @@ def nearest_line(spark, sf_dir):
 
 @query(f"WITH {VEC_PAIRS}, r AS (SELECT log_id, i, j, d, row_number() OVER (PARTITION BY log_id ORDER BY round(d, 9), i, j) AS r FROM p) SELECT log_id, CAST(r AS BIGINT) AS rank, i, j, round(d, 6) AS d FROM r WHERE r <= 25")
 def similar_pairs_ranked(spark, sf_dir):
-    w = Window.partitionBy("log_id").orderBy(F.round("d", 9), "i", "j")
-    top = vec_pairs(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 25")
-    return top.select("log_id", "rank", "i", "j", r6("d").alias("d"))
+    return distances.closest_pairs(near_vecs(spark, sf_dir), 25).withColumn("d", r6("d"))
 
 
 @query(f"WITH {VEC_PAIRS} SELECT log_id, i, round(sum(d), 6) AS total FROM m GROUP BY ALL")
