@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewright.catalog import (
-    CONV, FULL, LINES, MASKS, TFIDF, TOKENS, VEC_PAIRS, VECS, WORDS, _points, _ranked_sql, _table, conv, docs, near_vecs, query, r6, vec_pairs, vecs,
+    CONV, FULL, LINES, MASKS, TFIDF, TOKENS, VEC_PAIRS, VECS, WORDS, _points, _ranked_sql, _table, conv, docs, near_vecs, query, r6, vecs,
 )
 from linewright.functions import text
 from linewright.operators import clustering, distances, experiments, features, metrics, pipeline, topics
@@ -158,15 +158,6 @@ def jaccard_undefined(spark, sf_dir):
 VALUES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def _parts(spark, sf_dir):
-    """Pairs of vectors with a distance of their labels' parity, of the vectors and of their places."""
-    v = vecs(spark, sf_dir).select("log_id", "line_id", "vec", (F.col("label") % 2).alias("parity"))
-    near = distances.cosine_pairs(v, "vec", "line_id", "log_id").withColumnRenamed("d", "d_emb")
-    place = distances.line_pairs(v).withColumnRenamed("d", "d_line")
-    same = distances.pairs(v, ["parity"]).select("log_id", "i", "j", (F.col("a_parity") != F.col("b_parity")).cast("double").alias("d_var"))
-    return near.join(place, ["log_id", "i", "j"]).join(same, ["log_id", "i", "j"])
-
-
 @query(f"""WITH {VEC_PAIRS}, n AS (SELECT log_id, line_id, row_number() OVER (PARTITION BY log_id ORDER BY line_id) - 1 AS place, count(*) OVER (PARTITION BY log_id) AS n FROM vecs),
   v AS (SELECT unnest({VALUES}::DOUBLE[]) AS v), grid AS (SELECT a.v AS alpha, b.v AS beta, c.v AS gamma FROM v a, v b, v c WHERE abs(a.v + b.v + c.v - 1) < 0.01),
   g AS (SELECT *, row_number() OVER (ORDER BY alpha, beta, gamma) - 1 AS run FROM grid),
@@ -177,7 +168,9 @@ def _parts(spark, sf_dir):
   f AS (SELECT g.run, alpha, beta, gamma, score FROM g JOIN s USING (run))
   SELECT a.run, alpha, beta, gamma, round(score, 6) AS score, (SELECT b.run FROM f b WHERE b.run <= a.run ORDER BY round(b.score, 9) DESC, b.run LIMIT 1) AS best_run FROM f a""")
 def weight_search_best(spark, sf_dir):
-    found = pipeline.weight_search(_parts(spark, sf_dir), vecs(spark, sf_dir).select("log_id", "line_id", "label"), VALUES)
+    v = vecs(spark, sf_dir)
+    parity = v.select("log_id", "line_id", "vec", (F.col("label") % 2).alias("parity"))
+    found = pipeline.weight_search(parity, v.select("log_id", "line_id", "label"), VALUES, agreement=lambda f, labels, triples: pipeline.nearest_agreement_of_vectors(f, "parity", labels, triples))
     return found.select("run", "alpha", "beta", "gamma", r6("score").alias("score"), "best_run")
 
 
