@@ -584,8 +584,7 @@ def _ranked_sql(links: str) -> str:
 
 @query(_ranked_sql("SELECT * FROM sim"))
 def textrank_sentences(spark, sf_dir):
-    lines = docs(spark, sf_dir)
-    return topics.rank_sentences(lines, features.tfidf(lines)).withColumn("score", r6("score"))
+    return topics.rank_sentences(docs(spark, sf_dir)).withColumn("score", r6("score"))
 
 
 @query(f"""WITH {LINES}, w AS (SELECT log_id, line_id, unnest({WORDS}) AS word FROM lines), c AS (SELECT log_id, word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT log_id, sum(n) AS total FROM c GROUP BY 1),

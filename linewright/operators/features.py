@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import word_tokens
@@ -22,6 +22,18 @@ def tfidf(lines: DataFrame, by: tuple[str, ...] = ("log_id",), key: str = "line_
     return raw.join(length, [*by_, key]).select(*by_, key, "token", (F.col("raw") / F.col("length")).alias("weight"))
 
 
+def tfidf_within(lines: DataFrame, by: str = "log_id", key: str = "line_id", text: str = "text") -> DataFrame:
+    """tfidf where a log is a task's: lines are dealt once, by log, and all counts are windows over them. Lines without a word have one row without a token."""
+    w = Window.partitionBy
+    dealt = lines.select(by, key, F.col(text).alias("_text")).repartition(by)
+    counted = dealt.withColumn("n", F.count(F.lit(1)).over(w(by)))  # before lines become words
+    placed = counted.select(by, key, "n", F.explode_outer(word_tokens(F.col("_text"))).alias("token"))
+    tf = placed.groupBy(by, key, "token").agg(F.count("token").alias("tf"), F.first("n").alias("n"))
+    df = tf.withColumn("df", F.count(F.lit(1)).over(w(by, "token")))
+    raw = df.withColumn("raw", F.when(F.col("token").isNotNull(), F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
+    return raw.select(by, key, "token", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w(by, key)))).alias("weight"))
+
+
 def sparse_cosine(weights: DataFrame, by: str = "log_id", key: str = "line_id") -> DataFrame:
     """Halved cosine distances of lines that share a token (all others are 0.5 apart), through an inverted index."""
     left = weights.select(by, "token", F.col(key).alias("i"), F.col("weight").alias("u"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import tokens, word_tokens
+from linewright.plans.lineage import ship_package
+
+#: Weights that are gathered before whole logs of them are ranked; similarities and their terms that are summed at a time.
+RANKED_ROWS, LINKED_CELLS = 200_000, 4_000_000
 
 
 def topic_words(docs: DataFrame, by: list[str], text: str = "text", top: int = 10) -> DataFrame:
@@ -86,31 +94,113 @@ def topic_mix(docs: DataFrame, key: str, k: int, text: str = "text", rounds: int
     return LDA(k=k, maxIter=rounds, seed=7).fit(ready).transform(ready).select(key, vector_to_array("topicDistribution").alias("mix"))
 
 
-def rank_sentences(lines: DataFrame, weights: DataFrame, rounds: int = 10, damping: float = 0.85, by: str = "log_id") -> DataFrame:
-    """by, line_id and score: centrality of lines in the graph of cosine similarities (weights: by, line_id, token, weight).
+def rank_sentences(lines: DataFrame, weights: DataFrame | None = None, rounds: int = 10, damping: float = 0.85, by: str = "log_id") -> DataFrame:
+    """by, line_id and score: centrality of lines in the graph of cosine similarities (weights: by, line_id, token, weight; None: tf-idf).
 
-    The links of each log are built once by an inverted index; each round is one join and one sum.
+    Similarities are products of weights, so a round is two sums over the weights, token by token and line by line, without
+    the pairs of lines.
     """
-    from linewright.operators.features import sparse_cosine
+    return _centrality(lines, weights, None, rounds, damping, by)
 
-    return _centrality(lines, sparse_cosine(weights, by).select(by, "i", "j", (1 - 2 * F.col("d")).alias("s")), rounds, damping, by)
 
+def _centrality(lines: DataFrame, weights: DataFrame | None, threshold: float | None, rounds: int, damping: float, by: str) -> DataFrame:
+    """Each log's lines are ranked in one task, many logs at a time; lines are dealt once, and no link becomes a row."""
+    from linewright.operators.features import tfidf_within
 
-def _centrality(lines: DataFrame, links: DataFrame, rounds: int, damping: float, by: str) -> DataFrame:
-    from linewright.plans.lineage import materialize
-
-    both = links.unionByName(links.select(by, F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-    out_sum = both.groupBy(by, "i").agg(F.sum("s").alias("total"))
-    graph = materialize(both.join(out_sum, [by, "i"]).select(by, "i", "j", (F.col("s") / F.col("total")).alias("p")), "sentence-links")
-    n = lines.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    base = materialize(lines.select(by, "line_id").join(n, by), "sentences")
-    score = base.select(by, "line_id", (1 / F.col("n")).alias("score"))
-    for r in range(rounds):
-        given = graph.join(score.withColumnRenamed("line_id", "i"), [by, "i"]).groupBy(by, F.col("j").alias("line_id")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        score = base.join(given, [by, "line_id"], "left").select(by, "line_id", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if r % 4 == 3:
-            score = materialize(score, "sentence-scores")
-    return score
+    if weights is None:
+        rows = tfidf_within(lines, by)
+    else:
+        none = lines.select(by, "line_id", F.lit(None).cast("string").alias("token"), F.lit(None).cast("double").alias("weight"))
+        rows = weights.select(by, "line_id", "token", "weight").unionByName(none).repartition(by)
+    rows = rows.select(by, F.col("line_id").cast("long").alias("line_id"), F.coalesce(F.xxhash64("token"), F.lit(0)).alias("token"), F.coalesce("weight", F.lit(float("nan"))).alias("weight")).sortWithinPartitions(by)
+    ship_package(lines.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, most = [], 0, RANKED_ROWS
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < most:
+                continue
+            frame = pd.concat(held, ignore_index=True)
+            logs = pd.factorize(frame[by], use_na_sentinel=False)[0]
+            whole = int((logs != logs[-1]).sum())  # the last log may go on
+            if whole:
+                yield ranked_lines(frame[:whole], by, threshold, rounds, damping)
+                frame = frame[whole:]
+            held, size = [frame], len(frame)
+            most = max(RANKED_ROWS, 2 * size)
+        if size:
+            yield ranked_lines(pd.concat(held, ignore_index=True), by, threshold, rounds, damping)
+
+    return rows.mapInPandas(run, f"{by} {lines.schema[by].dataType.simpleString()}, line_id long, score double")
+
+
+def ranked_lines(frame: pd.DataFrame, by: str, threshold: float | None, rounds: int, damping: float) -> pd.DataFrame:
+    """by, line_id and score of whole logs' weights(by, line_id, token, weight); a weight that is NaN stands for its line only."""
+    log, logs = pd.factorize(frame[by], use_na_sentinel=False)
+    line, token, weight = frame["line_id"].to_numpy(np.int64), frame["token"].to_numpy(np.int64), frame["weight"].to_numpy(float)
+    order = np.lexsort((line, log))
+    log, line, token, weight = log[order], line[order], token[order], weight[order]
+    new = np.append(True, (log[1:] != log[:-1]) | (line[1:] != line[:-1]))
+    row = np.cumsum(new) - 1  # the line of each weight
+    line_log, line_id = log[new], line[new]
+    count = np.bincount(line_log)
+    first = np.cumsum(count) - count  # of each log's lines
+    n = count[line_log]
+    on = ~np.isnan(weight)
+    row, log, token, weight = row[on], log[on], token[on], weight[on]
+    order = np.lexsort((row, token, log))
+    new = np.append(True, (log[order][1:] != log[order][:-1]) | (token[order][1:] != token[order][:-1]))[: len(order)]
+    term = np.empty(len(order), np.int64)
+    term[order] = np.cumsum(new) - 1
+    held = np.bincount(term)
+    shared = held[term] > 1  # tokens of one line link nothing
+    row, term, weight = row[shared], term[shared], weight[shared]
+    lines, terms = len(line_id), len(held)
+    if threshold is None:
+        everywhere = np.bincount(term, weight, terms)
+        total = np.bincount(row, weight * (everywhere[term] - weight), lines)
+    else:
+        i, j = _links(row, term, weight, terms, first[line_log], n, threshold)
+        total = np.bincount(i, minlength=lines).astype(float)
+    linked, score = total != 0, 1 / n
+    for _ in range(rounds):
+        given = np.divide(score, total, out=np.zeros(lines), where=linked)
+        if threshold is None:
+            own = weight * given[row]
+            got = np.bincount(row, weight * (np.bincount(term, own, terms)[term] - own), lines)
+        else:
+            got = np.bincount(i, given[j], lines)
+        score = (1 - damping) / n + damping * got
+    return pd.DataFrame({by: logs.take(line_log), "line_id": line_id, "score": score})
+
+
+def _links(row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, first: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both directions of all lines of a log whose weights' product is above the threshold, some lines at a time; rows are in order."""
+    by_term = np.argsort(term, kind="stable")
+    size = np.bincount(term, minlength=terms)
+    start = np.cumsum(size) - size
+    lines = len(n)
+    work = np.cumsum(n + np.bincount(row, size[term], lines).astype(np.int64))
+    ends = np.searchsorted(row, np.arange(lines + 1))
+    i, j, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < lines:
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + LINKED_CELLS, side="right")))
+        own = np.arange(ends[at], ends[to])
+        times = size[term[own]]
+        mine = np.repeat(own, times)
+        other = by_term[np.arange(len(mine)) - np.repeat(np.cumsum(times) - times, times) + start[term[mine]]]
+        cell = np.cumsum(n[at:to]) - n[at:to]  # of each line's similarities to its log's lines
+        places = cell[row[mine] - at] + row[other] - first[row[mine]]
+        close = np.flatnonzero(np.bincount(places, weight[mine] * weight[other], int(n[at:to].sum())) > threshold)
+        a = np.searchsorted(cell, close, side="right") - 1
+        b = close - cell[a] + first[at + a]
+        keep = b != at + a
+        i.append(at + a[keep])
+        j.append(b[keep])
+        at = to
+    return np.concatenate(i), np.concatenate(j)
 
 
 def frequent_word_sentences(lines: DataFrame, by: str = "log_id", share: float = 0.02) -> DataFrame:
@@ -123,12 +213,9 @@ def frequent_word_sentences(lines: DataFrame, by: str = "log_id", share: float =
     return scored.select(by, "line_id", (F.col("h") * F.col("h") / F.col("n")).alias("score"))
 
 
-def lex_rank(lines: DataFrame, weights: DataFrame, threshold: float = 0.1, rounds: int = 10, by: str = "log_id") -> DataFrame:
+def lex_rank(lines: DataFrame, weights: DataFrame | None = None, threshold: float = 0.1, rounds: int = 10, by: str = "log_id") -> DataFrame:
     """by, line_id and score: centrality of lines in the graph whose links are cosine similarities above the threshold, all of equal weight."""
-    from linewright.operators.features import sparse_cosine
-
-    links = sparse_cosine(weights, by).where(1 - 2 * F.col("d") > threshold).select(by, "i", "j", F.lit(1.0).alias("s"))
-    return _centrality(lines, links, rounds, 0.85, by)
+    return _centrality(lines, weights, threshold, rounds, 0.85, by)
 
 
 def window_topics(windows: DataFrame, k: int = 10, top: int = 10, by: tuple[str, ...] = ("log_id", "window"), rounds: int = 30) -> DataFrame:
@@ -137,9 +224,6 @@ def window_topics(windows: DataFrame, k: int = 10, top: int = 10, by: tuple[str,
     A window is a bounded group (20 lines), fitted in one task by variational inference from a start that depends on the
     words alone. A window without words has no rows. A word's ties go by the alphabet.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(by)
 
     def digamma(x):
@@ -183,9 +267,6 @@ def latent_sentences(weights: DataFrame, topics: int = 3, by: str = "log_id", ke
 
     A log's lines are gathered in one task, where the matrix of its lines' similarities is decomposed.
     """
-    import numpy as np
-    import pandas as pd
-
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row = np.unique(pdf[key].to_numpy(), return_inverse=True)
         words, column = np.unique(pdf["token"].to_numpy().astype(str), return_inverse=True)
