@@ -214,8 +214,7 @@ def density_fewest_outliers(spark, sf_dir):
 
 @query(_ranked_sql("SELECT log_id, i, j, 1.0 AS s FROM sim WHERE s > 0.1"))
 def lexrank_sentences(spark, sf_dir):
-    lines = docs(spark, sf_dir)
-    return topics.lex_rank(lines, features.tfidf(lines)).withColumn("score", r6("score"))
+    return topics.lex_rank(docs(spark, sf_dir)).withColumn("score", r6("score"))
 
 
 @query()
