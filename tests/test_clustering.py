@@ -124,3 +124,75 @@ def test_topics_hold_all_words(spark):
     docs = spark.createDataFrame([(i, " ".join(f"word{100 * i + j}" for j in range(100))) for i in range(25)], "doc_id long, text string").coalesce(2)
     rows = topics.lda_topics(docs, 2, top=3000, rounds=1).collect()
     assert len({r["word"] for r in rows}) == 2500 and len(rows) == 5000
+
+
+def plain_topics(docs, k, rounds, part_of):
+    """Weights of all words by topic: online variational inference with one matrix, text by text, in plain steps to a finer end."""
+    import re
+    from collections import Counter
+
+    from linewright.operators import topics
+
+    digamma, trigamma = (lambda x, f=f: f(np.asarray(x, float)) for f in (topics.digamma, topics.trigamma))
+    assert digamma([1.0])[0] == pytest.approx(-0.5772156649) and trigamma([1.0])[0] == pytest.approx(np.pi**2 / 6)
+    texts = [(part_of[t], Counter(re.findall(r"[^\W]{2,}", t.lower()))) for t in docs]
+    words = sorted({w for _, c in texts for w in c})
+    place = {w: i for i, w in enumerate(words)}
+    lam = topics.starts(np.array([part_of["id", w] for w in words]), k)
+    alpha = np.full(k, 1 / k)
+    sizes = Counter(p for p, c in texts if c)
+    for n in range(1, rounds + 1):
+        if not (size := sizes[n - 1]):
+            continue
+        beta = np.exp(digamma(lam) - digamma(lam.sum(axis=1, keepdims=True)))
+        sums, logs = np.zeros(lam.shape), np.zeros(k)
+        for p, c in texts:
+            if p != n - 1 or not c:
+                continue
+            ids, times = np.array([place[w] for w in c]), np.array(list(c.values()))
+            gamma, change = np.ones(k), 1.0
+            while change > 1e-9:
+                theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
+                new = alpha + theta * (beta[:, ids] @ (times / (theta @ beta[:, ids])))
+                change, gamma = np.abs(new - gamma).mean(), new
+            theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
+            logs += np.log(theta)
+            np.add.at(sums.T, ids, (theta[:, None] * beta[:, ids] * (times / (theta @ beta[:, ids]))).T)
+        rate = (1024 + n) ** -0.51
+        lam = (1 - rate) * lam + rate * (1 / k + sum(sizes.values()) / size * sums)
+        slope = size * (digamma(alpha.sum()) - digamma(alpha) + logs / size)
+        c, q = size * trigamma(alpha.sum()), -size * trigamma(alpha)
+        alpha = alpha - rate * (slope - (slope / q).sum() / (1 / c + (1 / q).sum())) / q
+    return words, lam / lam.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cells", (0.5, 60, 4_000_000))
+def test_topics_match_one_matrix(spark, monkeypatch, cells):
+    """However few words are broadcast, the others' weights, which are joined, give what one matrix of all words gives."""
+    from pyspark.sql import functions as F
+
+    from linewright.operators import topics
+
+    monkeypatch.setattr(topics, "COMMON_CELLS", cells)
+    monkeypatch.setattr(topics, "FITTED", 1e-8)
+    monkeypatch.setattr(topics, "FITTED_CELLS", 90)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{int(x)}x" for x in rng.zipf(1.6, 40) % 60) for i in range(30)] + ["", "!!", None, "lone words", "lone words"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    part_of = {r["text"]: r["p"] for r in frame.select("text", F.pmod(F.xxhash64("text"), F.lit(3)).alias("p")).collect()}
+    names = {w for t in texts if t for w in t.split()}
+    part_of |= {("id", r["w"]): r["id"] for r in spark.createDataFrame([(w,) for w in names], "w string").select("w", F.xxhash64("w").alias("id")).collect()}
+    words, want = plain_topics([t for t in texts if t], 2, 3, part_of)
+    got = {(r["topic"], r["word"]): r["weight"] for r in topics.lda_topics(frame, 2, top=1000, rounds=3).collect()}
+    assert len(got) == 2 * len(words)
+    assert all(got[t, w] == pytest.approx(want[t, i], rel=1e-4) for t in range(2) for i, w in enumerate(words))
+
+
+def test_topics_of_the_most_frequent_words_and_of_none(spark, monkeypatch):
+    from linewright.operators import topics
+
+    monkeypatch.setattr(topics, "COMMON_CELLS", 1)
+    frame = spark.createDataFrame([("aa aa bb cc", 1), ("aa bb dd", 2), (None, 3)], "text string, n int")
+    rows = topics.lda_topics(frame, 2, rounds=2, vocabulary=2).collect()
+    assert {r["word"] for r in rows} == {"aa", "bb"} and len(rows) == 4
+    assert topics.lda_topics(frame.where("n = 3"), 2).count() == 0
