@@ -1,11 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Counts of all words are taken over every training text. Words with a fixed share of all tokens are symbols; contexts of
-one and more symbols are grown level by level from transitions that make up a fixed share of all tokens, and a context
-stays only if its next-symbol distribution diverges from that of its suffix by a likelihood-ratio test. Distributions
-are smoothed by absolute discounting into the suffix's, down to the add-one distribution over all words. A text is
-scored from the longest suffix state at each word. All shares are relative to the corpus, so a larger corpus is
-treated like a small one, and what is broadcast is bounded by their inverses.
+Contexts of one and more words are grown from transitions that occur twice or more in training, whatever the size of the
+corpus, and a context stays only if its next-word distribution diverges from that of its suffix by a likelihood-ratio
+test. Distributions are smoothed by absolute discounting into the suffix's, down to the add-one distribution over all
+words. A text is scored from the longest suffix state at each word.
+
+No one holds the tree: positions of texts are dealt by the word before them (suffix_parts.py), and each part makes its
+branches and scores its positions; sums go back to the rows. What is broadcast is bounded: common words, and which
+contexts are dealt over several parts. `build_tree` makes the tree as one object, for corpora whose tree one machine holds.
 """
 
 from __future__ import annotations
@@ -19,14 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linewright.llm import suffix_parts as parts
 from linewright.llm._common import aside, bucket_of, released, slices, space_words
-from linewright.plans.lineage import materialize, ship_package
+from linewright.plans.lineage import Table, materialize, ship_package
 
 #: No word holds a space, so this one stands for the end of a text.
 END = b" "
-#: Shares of all tokens from which a word is a symbol, is (or ends) a context, and from which a transition is kept.
-SYMBOL, CONTEXT, TRANSITION = 1e-6, 1e-5, 2e-7
+#: Shares of all tokens from which a word is a symbol, is (or ends) a context, and from which a transition is kept: two occurrences are enough at any size.
+SYMBOL = CONTEXT = TRANSITION = 0.0
 DEPTH, DISCOUNT = 3, 0.5
+#: Words of this share of all tokens are broadcast; contexts of this share may be dealt over several cells. Neither changes a score.
+COMMON, HOT = 4e-7, 1e-4
+#: Positions of a cell, cells of a part, words that hot contexts are told by, positions that a task holds before it sends them.
+CELL_SIZE, PART_CELLS, SAMPLE, HELD = 200_000, 8, 1_000_000, 800_000
+#: What a part adds to a row's score goes back in whole multiples of 1 / UNITS, 2 ** BLOCK_BITS rows at a time.
+UNITS, BLOCK_BITS = 1 << 32, 13
 SLICE_BYTES, COUNTER_WORDS, HELD_CODES = 1 << 20, 250_000, 2_000_000
 
 
@@ -194,22 +203,34 @@ def _stopped(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_tree(training: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
-    """The tree of training(text string), and the table of word and count of those words that aren't symbols."""
+def _counted(training: DataFrame) -> tuple[Table, int, int]:
+    """The table of word, n and a number of each; the number of all tokens and of distinct ones."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = training.sparkSession
-    ship_package(spark)
+    ship_package(training.sparkSession)
     kind = T.StructType().add("word", "binary").add("n", "long")
     partial = training.select("text").mapInArrow(released(_count_words(to_arrow_schema(kind))), kind)
-    counts = materialize(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    total, distinct = int(sums["total"]), int(sums["distinct"])
-    least = max(2.0, total * SYMBOL)
-    frequent = counts.where(F.col("n") >= least).toArrow()  # at most 1 / SYMBOL rows
+    counts = Table(partial.groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "word-counts")
+    sums = counts.df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    return counts, int(sums["total"]), int(sums["distinct"])
+
+
+def _rooted(counts: DataFrame, total: int, distinct: int, least: float) -> SuffixTree:
+    """The tree's root: words of that many occurrences, in order of their count."""
+    frequent = counts.where(F.col("n") >= least).select("word", "n").toArrow()
     words, n = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
-    tree = SuffixTree([words[i] for i in order], n[order] if len(order) else np.zeros(0, np.int64), total, distinct)
+    return SuffixTree([words[i] for i in order], n[order] if len(order) else np.zeros(0, np.int64), total, distinct)
+
+
+def build_tree(training: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
+    """The tree of training(text string) as one object, which the driver has to hold, and the table of word and count of those words that aren't symbols."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = training.sparkSession
+    counts, total, distinct = _counted(training)
+    least = max(2.0, total * SYMBOL)
+    tree = _rooted(counts.df, total, distinct, least)
     kind = T.StructType().add("code", "long").add("n", "long")
     contexts, totals, tables = np.arange(tree.most), tree.counts[: tree.most], []
     for d in range(1, depth + 1):
@@ -217,7 +238,7 @@ def build_tree(training: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, Dat
             break
         sent, above = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(list(tables))
         found = training.select("text").mapInArrow(released(_count_transitions(sent, above, d, to_arrow_schema(kind))), kind)
-        found = found.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, total * TRANSITION)).toArrow()  # at most 1 / TRANSITION rows
+        found = found.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, total * TRANSITION)).toArrow()
         sent.destroy()
         codes, n = found.column("code").to_numpy(), found.column("n").to_numpy()
         tree.add_level(contexts, totals, codes, n)
@@ -226,34 +247,230 @@ def build_tree(training: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, Dat
         order = np.argsort(codes[grown])
         contexts, totals = codes[grown][order], n[grown][order]
         tables.append(contexts)
-    return tree, counts.where(F.col("n") < least)
+    return tree, counts.df.where(F.col("n") < least).select("word", "n")
+
 
+def _encode(sent, keep: list[str], schema: pa.Schema):
+    """Rows with their words as numbers: a broadcast word's id, or beyond them a place among the row's other words."""
 
-def _score(sent, keep: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: SuffixTree = sent.value
         for part in slices(batches, "text", SLICE_BYTES):
             split, ids, ends = _ids(tree, part.column("text").to_pylist())
             starts = np.concatenate([[0], ends[:-1] + 1])
-            stopped = _stopped(ids, ends)
-            logs = tree.score(ids, stopped)
-            base = tree.unigram[ids]
-            rare = [Counter(w for w in words if w not in tree.ids) for words in split]
-            if not tree.end:  # the end is then looked up like any other word
-                for x in rare:
-                    x[END] += 1
+            base, known = np.add.reduceat(tree.unigram[ids], starts), np.add.reduceat((ids > 0).astype(np.int64), starts)
+            codes, rare, times = [], [], []
+            for words, start, end in zip(split, starts, ends, strict=True):
+                own = ids[start : end + 1]
+                unknown = np.flatnonzero(own == 0)
+                words.append(END)  # an end that isn't broadcast is looked up like any other word
+                mine = [words[i] for i in unknown.tolist()]
+                places = {w: k for k, w in enumerate(dict.fromkeys(mine))}
+                at = np.array([places[w] for w in mine], np.int64)
+                own[unknown] = tree.width + at
+                codes.append(parts.pack([parts.narrow(own)]))
+                rare.append(places)
+                times.append(np.bincount(at))
             lengths = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32))
             columns = [part.column(c) for c in keep] + [
-                pa.array(ends - starts + 1), pa.array(np.add.reduceat((ids > 0).astype(np.int64), starts)),
-                pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
+                pa.array(ends - starts + 1), pa.array(known), pa.array(base), pa.array(codes, pa.binary()),
                 pa.ListArray.from_arrays(lengths, pa.array([w for x in rare for w in x], pa.binary())),
-                pa.ListArray.from_arrays(lengths, pa.array([n for x in rare for n in x.values()], pa.int64())),
+                pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(times), pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+class Words:
+    """What is broadcast of the words: counts by id (0: none), and for each partition of the table of counts the ids before it."""
+
+    def __init__(self, counts: np.ndarray, before: np.ndarray):
+        self.counts, self.before = counts, before
+
+    def decode(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the rows' words with their ends (0: occurs once at most), counts of those that aren't broadcast, and each row's number of words."""
+        width, found, sizes = len(self.counts), batch.column("_found"), batch.column("_size").to_numpy()
+        if not len(sizes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
+        ids = np.concatenate([parts.unpack(x, 1, n)[0] for x, n in zip(batch.column("_codes").to_pylist(), sizes.tolist(), strict=True)]).astype(np.int64)
+        counts = np.zeros(len(ids), np.int64)
+        others = np.maximum(np.maximum.reduceat(ids, np.cumsum(sizes) - sizes) - width + 1, 0)  # of each row, words that aren't broadcast
+        offsets = np.cumsum(others) - others
+        flat = found.flatten()
+        places, number, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        table = np.zeros((2, int(others.sum())), np.int64)
+        table[:, places + np.repeat(offsets, found.value_lengths().to_numpy(zero_copy_only=False))] = self.before[number >> 33] + (number & ((1 << 33) - 1)) + width, n
+        rare = np.flatnonzero(ids >= width)
+        at = ids[rare] - width + np.repeat(offsets, sizes)[rare]
+        ids[rare], counts[rare] = table[:, at]
+        return ids, counts, sizes
+
+
+def _held(words: Words, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Many rows' ids, counts and ends, and of each row its number (0: not asked for) and whether it is in training."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for part in _cut(batch, most):
+            ids, counts, sizes = words.decode(part)
+            row = np.where(part.column("_out").to_numpy(zero_copy_only=False).astype(bool), part.column("_row").to_numpy() + 1, 0)
+            held.append((ids, counts, sizes, row, part.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)))
+            size += len(ids)
+            if size >= most:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch of so many words at most, or of one row."""
+    place = np.cumsum(batch.column("_size").to_numpy()) // most
+    cuts = [*np.flatnonzero(np.diff(place, prepend=-1)), len(place)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def _joined(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    ids, counts, sizes, rows, train = (np.concatenate(x) for x in zip(*held, strict=True))
+    return ids, counts, np.cumsum(sizes) - 1, rows, train
+
+
+def _count_hot(sent, depth: int, most: int, schema: pa.Schema):
+    """Counts of words after each hot context, in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hot = sent.value
+        for ids, counts, ends, _, _ in _held(words, batches, most):
+            for offset, place in zip(hot.offsets, hot.states(parts.befores(ids, ends, depth)), strict=False):
+                on = np.flatnonzero(place >= 0)
+                group, first = parts.grouped(((place[on] + offset) << parts.ID_BITS) | ids[on])
+                if len(on):
+                    at = on[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place[at] + offset, ids[at], counts[at], np.bincount(group))], schema=schema)
+
+    return run
+
+
+def _deal(sent, depth: int, cells: int, per: int, most: int, schema: pa.Schema):
+    """Positions by the part that they go to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hot = sent.value
+        for ids, counts, ends, rows, train in _held(words, batches, most):
+            before = parts.befores(ids, ends, depth)
+            on = np.flatnonzero(before[0] > 0)
+            before = [x[on] for x in before]
+            owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))[on]
+            cell = hot.cells(before, cells)
+            yield from _sent([cell, rows[owner], np.zeros_like(cell), train[owner], ids[on], counts[on], *before], per, schema)
+
+    return run
+
+
+def _deal_hot(sent, depth: int, cells: int, per: int, schema: pa.Schema):
+    """Counts of hot contexts, for every cell that has positions of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot = sent.value
+        need = hot.spread(cells)
+        for batch in batches:
+            contexts, word, count, n = (batch.column(k).to_numpy() for k in range(4))
+            for context in np.unique(contexts):
+                mine = np.flatnonzero(contexts == context)
+                level = int(np.searchsorted(hot.offsets, context, side="right"))
+                spelled = hot.words[level - 1][context - hot.offsets[level - 1]]
+                for some in np.array_split(need[context], -(-len(need[context]) // per)):
+                    size = len(some) * len(mine)
+                    again = [np.tile(x[mine], len(some)) for x in (n, word, count)]
+                    before = [np.full(size, spelled[d] if d < level else 0, np.int64) for d in range(depth)]
+                    yield from _sent([np.repeat(some, len(mine)), np.zeros(size, np.int64), np.full(size, level, np.int64), *again, *before], per, schema)
+
+    return run
+
+
+def _sent(columns: list[np.ndarray], per: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Columns cut by part. Each part's are in order of their cells, and the cell is that in the part."""
+    cell = columns[parts.CELL]
+    order = np.argsort(cell.astype(np.uint16) if len(cell) and cell.max() < 1 << 16 else cell, kind="stable")
+    part = cell[order] // per
+    columns = [parts.narrow(x)[order] for x in (cell % per, *columns[1:])]
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+    packed = [parts.pack([x[a:b] for x in columns]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+
+
+def _score_part(sent, depth: int, unseen: float):
+    """Sums over the positions of each row, cell by cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, _ = sent.value
+        blobs = [parts.unpack(packed.as_py(), parts.BEFORE + depth, size) for packed, size in zip(table.column("packed"), table.column("size").to_pylist(), strict=True)]
+        columns = [np.concatenate([blob.pop(0) for blob in blobs]) for _ in range(parts.BEFORE + depth)]
+        order = np.argsort(columns[parts.CELL].astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(columns[parts.CELL]))
+        rows, sums = [], []
+        for mine in np.split(order, ends[:-1]):
+            cell = [x[mine].astype(np.int64) for x in columns]
+            log = parts.deltas(cell, words.counts, unseen, DISCOUNT)
+            asked = cell[parts.ROW] > 0
+            row, log = cell[parts.ROW][asked], log[asked]
+            group, first = parts.grouped(row)
+            rows.append(row[first])
+            sums.append(np.bincount(group, log, len(first)))
+        row, log = np.concatenate(rows), np.concatenate(sums)
+        group, first = parts.grouped(row)
+        row, units = row[first] - 1, np.zeros(len(first), np.int64)
+        np.add.at(units, group, np.rint(log * UNITS).astype(np.int64))
+        block = row >> BLOCK_BITS
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)), len(row)]
+        packed = [parts.pack([parts.narrow(row[x:y] - (block[x] << BLOCK_BITS)), units[x:y] << 1 ^ units[x:y] >> 63]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        out = pa.table({"block": pa.array(block[cuts[:-1]], pa.int64()), "size": pa.array(np.diff(cuts), pa.int64()), "packed": pa.array(packed, pa.binary())})
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
+    """Sums of the parts' sums, for the rows of a block. They are whole numbers, so their order changes nothing."""
+    sums, seen = np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, bool)
+    for packed, size in zip(table.column("packed"), table.column("size").to_pylist(), strict=True):
+        row, units = parts.unpack(packed.as_py(), 2, size)
+        sums[row] += (units >> 1) ^ -(units & 1)  # a part has each row once
+        seen[row] = True
+    row = np.flatnonzero(seen)
+    return pa.table({"_row": pa.array(row + (table.column("block")[0].as_py() << BLOCK_BITS), pa.int64()), "_delta": pa.array(sums[row] / UNITS, pa.float64())})
+
+
+def _deltas(coded: DataFrame, words: Words, unseen: float, depth: int) -> DataFrame:
+    """_row and _delta of coded(_row, _train, _out, _size, _codes, _found): what contexts add to the base score."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = coded.sparkSession
+    tokens = coded.agg(F.sum("_size")).first()[0]
+    cells = -(-tokens // CELL_SIZE)
+    sample = coded.sample(min(1.0, SAMPLE / tokens), 0).select("_codes", "_size", "_found").toArrow().combine_chunks().to_batches()
+    seen = [words.decode(batch) for batch in sample]
+    ids, sizes = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in seen]]) for k in (0, 2))
+    ends = np.cumsum(sizes) - 1
+    hot = parts.find_hot(ids, ends, depth, max(CELL_SIZE / tokens, HOT), tokens, CELL_SIZE, cells)
+    sent = spark.sparkContext.broadcast((words, hot))
+    kind = T.StructType().add("part", "long").add("size", "long").add("packed", "binary")
+    dealt = coded.mapInArrow(released(_deal(sent, depth, cells, PART_CELLS, HELD, to_arrow_schema(kind))), kind)
+    if hot.offsets[-1]:
+        counted = T.StructType([T.StructField(c, T.LongType()) for c in ("context", "word", "count", "n")])
+        found = coded.where("_train").mapInArrow(released(_count_hot(sent, depth, HELD, to_arrow_schema(counted))), counted)
+        found = found.groupBy("context", "word").agg(F.max("count").alias("count"), F.sum("n").alias("n"))
+        once = F.col("n") < 2  # these are only in the sum of what follows a context
+        found = found.groupBy("context", F.when(once, 0).otherwise(F.col("word")).alias("word")).agg(F.max(F.when(once, 0).otherwise(F.col("count"))).alias("count"), F.sum("n").alias("n"))
+        found = materialize(found.sortWithinPartitions("context"), "hot-counts")
+        dealt = dealt.union(found.mapInArrow(released(_deal_hot(sent, depth, cells, PART_CELLS, to_arrow_schema(kind))), kind))
+    sums = dealt.groupBy("part").applyInArrow(_score_part(sent, depth, unseen), T.StructType().add("block", "long").add("size", "long").add("packed", "binary"))
+    return materialize(sums.groupBy("block").applyInArrow(_sum_block, T.StructType().add("_row", "long").add("_delta", "double")), "row-scores")
+
+
 def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFrame:
     """All columns of docs but the text, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -262,34 +479,71 @@ def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataF
     score. Columns of docs that clash with those added are replaced, all others keep their names and values. Without training texts every score is that of
     an empty count table (0).
     """
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    own = [c for c in docs.columns if c != "text"]
+    rows, back = aside(rows, OWN)
+    names = dict(zip(docs.columns, rows.columns, strict=True))
+    flags = lambda train: (F.lit(train).alias("_train"), F.lit(not train).alias("_out"))
+    others = [F.lit(None).cast(rows.schema[names[c]].dataType).alias(names[c]) for c in own]
+    keep = [names[c] for c in own]
+    both = rows.select(*[F.col(f"`{c}`") for c in keep], "text", *flags(False)).union(training.select(*others, F.col("text").cast("string").alias("text"), *flags(True)))
+    return _scored(both, training, dict(zip(docs.columns, back, strict=True)), names, depth)
+
+
+#: Columns that lm_scores works with.
+OWN = ("_rare", "_times", "_row", "_log", "_known", "_train", "_out", "_codes", "_size", "_found", "_delta", "_rare_log", "_rare_known")
+
+
+def _scored(rows: DataFrame, training: DataFrame, back: dict, names: dict[str, str], depth: int) -> DataFrame:
+    """lm_scores of rows with _train and _out, whether a row is in training and whether it is asked for. back: expressions of the columns by their names; names: as which they are in rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
-    tree, rare_counts = build_tree(training, depth)
-    docs, back = aside(docs, ("_rare", "_times", "_row", "_log", "_known"))
-    added = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    spark = rows.sparkSession
+    counts, total, distinct = _counted(training)
+    least = max(2.0, total * COMMON)
+    tree = _rooted(counts.df, total, distinct, least)  # at most 1 / COMMON words
+    added = T.StructType().add("n_tokens", "long").add("n_known", "long").add("base_score", "double")
+    hidden = T.StructType().add("_size", "long").add("_known", "long").add("_log", "double").add("_codes", "binary")
     extra = T.StructType().add("_rare", T.ArrayType(T.BinaryType())).add("_times", T.ArrayType(T.LongType()))
-    keep = [c for c in docs.columns if c not in ("text", "train_tokens", *added.fieldNames())]
-    schema = T.StructType([docs.schema[c] for c in keep] + added.fields + extra.fields)
+    outer = [c for c in names if c not in ("text", "train_tokens", "score", *added.fieldNames())]
+    keep = [*[names[c] for c in outer], "_train", "_out"]
+    schema = T.StructType([rows.schema[c] for c in keep] + hidden.fields + extra.fields)
     sent = spark.sparkContext.broadcast(tree)
-    scored = docs.select(*keep, "text").mapInArrow(released(_score(sent, keep, to_arrow_schema(schema))), schema)
-    scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
+    coded = rows.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(released(_encode(sent, keep, to_arrow_schema(schema))), schema)
+    coded = Table(coded.withColumn("_row", F.monotonically_increasing_id()), "coded-rows")
 
-    rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
-    joined = rare.join(rare_counts, "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
+    rare = coded.df.select("_row", F.posexplode(F.arrays_zip("_rare", "_times")).alias("_at", "x")).select("_row", "_at", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
+    joined = rare.join(counts.df.where(F.col("n") < least).hint("shuffle_hash"), "word", "left")
+    unseen = float(total + distinct + 1)
+    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(unseen))
     sums = joined.groupBy("_row").agg(
-        F.sum(F.col("times") * log).alias("_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known")
-    )
-    out = scored.drop("_rare", "_times").join(sums, "_row", "left")
-    more = F.coalesce("_log", F.lit(0.0))
+        F.sum(F.col("times") * log).alias("_rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_rare_known"),
+        F.collect_list(F.when(F.col("n") >= 2, F.struct("_at", "id", "n"))).alias("_found"),
+    )
+    resolved = coded.df.drop("_rare", "_times").join(sums.hint("shuffle_hash"), "_row", "left").withColumns({
+        "_known": F.col("_known") + F.coalesce("_rare_known", F.lit(0)), "_log": F.col("_log") + F.coalesce("_rare_log", F.lit(0.0)),
+        "_found": F.coalesce("_found", F.array().cast("array<struct<_at:int,id:bigint,n:bigint>>")),
+    })
+    resolved = materialize(resolved.drop("_rare_log", "_rare_known"), "scored-rows")
+    coded.drop()
+    out = resolved.where("_out")
+    if total:
+        ends = {r["p"]: r["n"] for r in counts.df.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts.drop()
+        before = np.cumsum([0, *[ends.get(p, 0) for p in range(max(ends))]]).astype(np.int64)
+        words = Words(np.concatenate([[0], tree.counts]).astype(np.int64), before)
+        out = out.join(_deltas(resolved.select("_row", "_train", "_out", "_size", "_codes", "_found"), words, unseen, depth), "_row", "left")
+    else:
+        out = out.withColumn("_delta", F.lit(0.0))
     return out.select(
-        *[c for c, name in zip(back, docs.columns, strict=True) if name in keep], "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        *[back[c] for c in outer], F.col("_size").alias("n_tokens"), F.col("_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        F.col("_log").alias("base_score"), (F.col("_log") + F.coalesce("_delta", F.lit(0.0))).alias("score"),
     )
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; fold 2 of 7 is held out of training."""
-    marked = docs.select("doc_id", "text", (bucket_of("doc_id", 7) == 2).alias("held_out"))
-    return lm_scores(marked, marked.where("not held_out"))
+    held = bucket_of("doc_id", 7) == 2
+    rows = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("_train"), F.lit(True).alias("_out"))
+    names = ("doc_id", "held_out")
+    return _scored(rows, docs.where(~held), {c: F.col(c) for c in names}, {c: c for c in names}, DEPTH)

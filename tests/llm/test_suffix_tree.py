@@ -130,3 +130,38 @@ def test_own_columns_keep_their_values(spark):
     d = spark.createDataFrame([(1, "a b a b c", 1, "x", 3, 4, 5)], "doc_id long, text string, _log int, _rare string, _row int, _TIMES int, _known int")
     r = st.lm_scores(d, d).first()
     assert (r["_log"], r["_rare"], r["_row"], r["_TIMES"], r["_known"], r["n_tokens"]) == (1, "x", 3, 4, 5, 6)
+
+
+def test_rare_contexts_of_a_large_corpus_are_kept(spark):
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(common, k=2000)) for _ in range(250)]
+    texts += ["w1 quite seldom heard phrases w2", "w3 quite seldom heard phrases w4"]
+    texts += [f"first{i} middle last{i}" for i in range(5) for _ in range(4)]
+    docs = ["first1 middle last1", "first1 middle last2", "w5 quite seldom heard phrases w6", "w5 heard seldom phrases quite w6", "w7 quite seldom heard w2"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in st.lm_scores(frame, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got[0] > got[1] + 1 and got[2] > got[3] + 5
+    want, states = brute(texts, docs, st.DEPTH)
+    assert (b"quite",) in states and (b"first1", b"middle") in states
+    assert all(got[i] == pytest.approx(w, abs=1e-6) for i, w in enumerate(want))
+
+
+def test_scores_do_not_depend_on_the_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(["the cat sat on"] * rng.randrange(4) + rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randrange(60)) + ["the", "cat", "sat"]) for _ in range(150)]
+    texts += ["the cat", None, "the", " ".join(["on"] * 300), "never seen"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    training, asked = [t for i, t in rows if i % 3], rows
+    want, _ = brute(training, [t for _, t in asked], st.DEPTH)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    whole = st.parts.find_hot
+    monkeypatch.setattr(st.parts, "find_hot", lambda *a: found.append(whole(*a)) or found[-1])
+    for size, per, common in ((250_000, 8, 1e-6), (120, 3, 1e-6), (120, 1, 0.01), (20, 2, 0.5)):
+        for name, value in (("CELL_SIZE", size), ("PART_CELLS", per), ("COMMON", common), ("HELD", 10 * size)):
+            monkeypatch.setattr(st, name, value)
+        got = {r["doc_id"]: r["score"] for r in st.lm_scores(frame, frame.where("doc_id % 3 > 0")).collect()}
+        assert len(got) == len(rows) and all(got[i] == pytest.approx(w, abs=1e-6) for i, w in enumerate(want))
+    assert [len(h.codes) and len(h.codes[-1]) > 0 and len(h.codes) for h in found][1:] == [3, 3, 3]
