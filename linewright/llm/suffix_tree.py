@@ -33,7 +33,7 @@ DEPTH, DISCOUNT = 3, 0.5
 #: Words of this share of all tokens are broadcast; contexts of this share may be dealt over several cells. Neither changes a score.
 COMMON, HOT = 4e-7, 1e-4
 #: Positions of a cell, cells of a part, words that hot contexts are told by, positions that a task holds before it sends them.
-CELL_SIZE, PART_CELLS, SAMPLE, HELD = 200_000, 8, 1_000_000, 800_000
+CELL_SIZE, PART_CELLS, SAMPLE, HELD = 200_000, 8, 1_000_000, 600_000
 #: What a part adds to a row's score goes back in whole multiples of 1 / UNITS, 2 ** BLOCK_BITS rows at a time.
 UNITS, BLOCK_BITS = 1 << 32, 13
 SLICE_BYTES, COUNTER_WORDS, HELD_CODES = 1 << 20, 250_000, 2_000_000
@@ -312,7 +312,7 @@ def _held(words: Words, batches: Iterator[pa.RecordBatch], most: int) -> Iterato
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for part in _cut(batch, most):
+        for part in _cut(batch, max(1, most // 4)):
             ids, counts, sizes = words.decode(part)
             row = np.where(part.column("_out").to_numpy(zero_copy_only=False).astype(bool), part.column("_row").to_numpy() + 1, 0)
             held.append((ids, counts, sizes, row, part.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -459,16 +459,21 @@ def _deltas(coded: DataFrame, words: Words, unseen: float, depth: int) -> DataFr
     sent = spark.sparkContext.broadcast((words, hot))
     kind = T.StructType().add("part", "long").add("size", "long").add("packed", "binary")
     dealt = coded.mapInArrow(released(_deal(sent, depth, cells, PART_CELLS, HELD, to_arrow_schema(kind))), kind)
+    done: list[Table] = []
     if hot.offsets[-1]:
         counted = T.StructType([T.StructField(c, T.LongType()) for c in ("context", "word", "count", "n")])
         found = coded.where("_train").mapInArrow(released(_count_hot(sent, depth, HELD, to_arrow_schema(counted))), counted)
         found = found.groupBy("context", "word").agg(F.max("count").alias("count"), F.sum("n").alias("n"))
         once = F.col("n") < 2  # these are only in the sum of what follows a context
         found = found.groupBy("context", F.when(once, 0).otherwise(F.col("word")).alias("word")).agg(F.max(F.when(once, 0).otherwise(F.col("count"))).alias("count"), F.sum("n").alias("n"))
-        found = materialize(found.sortWithinPartitions("context"), "hot-counts")
-        dealt = dealt.union(found.mapInArrow(released(_deal_hot(sent, depth, cells, PART_CELLS, to_arrow_schema(kind))), kind))
+        done.append(Table(found.sortWithinPartitions("context"), "hot-counts"))
+        dealt = dealt.union(done[0].df.mapInArrow(released(_deal_hot(sent, depth, cells, PART_CELLS, to_arrow_schema(kind))), kind))
     sums = dealt.groupBy("part").applyInArrow(_score_part(sent, depth, unseen), T.StructType().add("block", "long").add("size", "long").add("packed", "binary"))
-    return materialize(sums.groupBy("block").applyInArrow(_sum_block, T.StructType().add("_row", "long").add("_delta", "double")), "row-scores")
+    out = materialize(sums.groupBy("block").applyInArrow(_sum_block, T.StructType().add("_row", "long").add("_delta", "double")), "row-scores")
+    sent.destroy()  # else Python workers keep it
+    for table in done:
+        table.drop()
+    return out
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -511,6 +516,7 @@ def _scored(rows: DataFrame, training: DataFrame, back: dict, names: dict[str, s
     sent = spark.sparkContext.broadcast(tree)
     coded = rows.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(released(_encode(sent, keep, to_arrow_schema(schema))), schema)
     coded = Table(coded.withColumn("_row", F.monotonically_increasing_id()), "coded-rows")
+    sent.destroy()
 
     rare = coded.df.select("_row", F.posexplode(F.arrays_zip("_rare", "_times")).alias("_at", "x")).select("_row", "_at", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
     joined = rare.join(counts.df.where(F.col("n") < least).hint("shuffle_hash"), "word", "left")
