@@ -32,18 +32,20 @@ def pack(columns: list[np.ndarray]) -> bytes:
     return bytes(widths) + pa.compress(np.concatenate([*planes, np.zeros(1, np.uint8)]), "zstd", asbytes=True)
 
 
-def unpack(packed: bytes, columns: int, n: int) -> list[np.ndarray]:
-    """The columns that pack was given, in four bytes a value where they fit."""
-    widths = packed[:columns]
-    planes = np.frombuffer(pa.decompress(memoryview(packed)[columns:], sum(widths) * n + 1, "zstd"), np.uint8)
-    out, at = [], 0
-    for width in widths:
-        x = np.zeros((n, 4 if width < 4 else 8), np.uint8)
-        for j in range(width):
-            x[:, j] = planes[at : at + n]
-            at += n
-        out.append(x.view(np.int32 if width < 4 else np.int64)[:, 0])
-    return out
+def unpack(packed: list[bytes], columns: int, sizes: list[int]) -> list[np.ndarray]:
+    """The columns that pack was given each time, one after another, in four bytes a value where all fit."""
+    widths = [list(x[:columns]) for x in packed]
+    out = [np.zeros((sum(sizes), 4 if all(x[k] < 4 for x in widths) else 8), np.uint8) for k in range(columns)]
+    start = 0
+    for x, width, n in zip(packed, widths, sizes, strict=True):
+        planes = np.frombuffer(pa.decompress(memoryview(x)[columns:], sum(width) * n + 1, "zstd"), np.uint8)
+        at = 0
+        for k in range(columns):
+            for j in range(width[k]):
+                out[k][start : start + n, j] = planes[at : at + n]
+                at += n
+        start += n
+    return [x.view(np.int32 if x.shape[1] == 4 else np.int64)[:, 0] for x in out]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

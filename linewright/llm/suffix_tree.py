@@ -293,7 +293,7 @@ class Words:
         width, found, sizes = len(self.counts), batch.column("_found"), batch.column("_size").to_numpy()
         if not len(sizes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
-        ids = np.concatenate([parts.unpack(x, 1, n)[0] for x, n in zip(batch.column("_codes").to_pylist(), sizes.tolist(), strict=True)]).astype(np.int64)
+        ids = parts.unpack(batch.column("_codes").to_pylist(), 1, sizes.tolist())[0].astype(np.int64)
         counts = np.zeros(len(ids), np.int64)
         others = np.maximum(np.maximum.reduceat(ids, np.cumsum(sizes) - sizes) - width + 1, 0)  # of each row, words that aren't broadcast
         offsets = np.cumsum(others) - others
@@ -406,8 +406,7 @@ def _score_part(sent, depth: int, unseen: float):
 
     def run(table: pa.Table) -> pa.Table:
         words, _ = sent.value
-        blobs = [parts.unpack(packed.as_py(), parts.BEFORE + depth, size) for packed, size in zip(table.column("packed"), table.column("size").to_pylist(), strict=True)]
-        columns = [np.concatenate([blob.pop(0) for blob in blobs]) for _ in range(parts.BEFORE + depth)]
+        columns = parts.unpack(table.column("packed").to_pylist(), parts.BEFORE + depth, table.column("size").to_pylist())
         order = np.argsort(columns[parts.CELL].astype(np.uint16), kind="stable")
         ends = np.cumsum(np.bincount(columns[parts.CELL]))
         rows, sums = [], []
@@ -437,7 +436,7 @@ def _sum_block(table: pa.Table) -> pa.Table:
     """Sums of the parts' sums, for the rows of a block. They are whole numbers, so their order changes nothing."""
     sums, seen = np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, bool)
     for packed, size in zip(table.column("packed"), table.column("size").to_pylist(), strict=True):
-        row, units = parts.unpack(packed.as_py(), 2, size)
+        row, units = parts.unpack([packed.as_py()], 2, [size])
         sums[row] += (units >> 1) ^ -(units & 1)  # a part has each row once
         seen[row] = True
     row = np.flatnonzero(seen)
