@@ -381,11 +381,13 @@ def _deal_hot(sent, depth: int, cells: int, per: int, schema: pa.Schema):
                 mine = np.flatnonzero(contexts == context)
                 level = int(np.searchsorted(hot.offsets, context, side="right"))
                 spelled = hot.words[level - 1][context - hot.offsets[level - 1]]
-                for some in np.array_split(need[context], -(-len(need[context]) // per)):
-                    size = len(some) * len(mine)
-                    again = [np.tile(x[mine], len(some)) for x in (n, word, count)]
-                    before = [np.full(size, spelled[d] if d < level else 0, np.int64) for d in range(depth)]
-                    yield from _sent([np.repeat(some, len(mine)), np.zeros(size, np.int64), np.full(size, level, np.int64), *again, *before], per, schema)
+                where, masks = np.unique(need[context] // per, return_inverse=True)
+                masks = np.bincount(masks, 1 << need[context] % per).astype(np.int64)  # a bit for each cell of the part
+                for part, mask in zip(where, masks, strict=True):
+                    full = [np.full(len(mine), x, np.int64) for x in (mask, 0, level)]
+                    before = [np.full(len(mine), spelled[d] if d < level else 0, np.int64) for d in range(depth)]
+                    packed = parts.pack([*full, n[mine], word[mine], count[mine], *before])
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(mine)]), pa.array([packed], pa.binary())], schema=schema)
 
     return run
 
@@ -407,10 +409,12 @@ def _score_part(sent, depth: int, unseen: float):
     def run(table: pa.Table) -> pa.Table:
         words, _ = sent.value
         columns = parts.unpack(table.column("packed").to_pylist(), parts.BEFORE + depth, table.column("size").to_pylist())
-        order = np.argsort(columns[parts.CELL].astype(np.uint16), kind="stable")
-        ends = np.cumsum(np.bincount(columns[parts.CELL]))
-        rows, sums = [], []
-        for mine in np.split(order, ends[:-1]):
+        own, hot = np.flatnonzero(columns[parts.LEVEL] == 0), np.flatnonzero(columns[parts.LEVEL])
+        place, masks = columns[parts.CELL][own], columns[parts.CELL][hot]
+        own = own[np.argsort(place.astype(np.uint16), kind="stable")]
+        rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for k, mine in enumerate(np.split(own, np.cumsum(np.bincount(place))[:-1])):
+            mine = np.concatenate([mine, hot[masks >> k & 1 > 0]])
             cell = [x[mine].astype(np.int64) for x in columns]
             log = parts.deltas(cell, words.counts, unseen, DISCOUNT)
             asked = cell[parts.ROW] > 0
