@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.lineage import Table
+from linewright.plans.lineage import Table, in_few_files
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,22 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", rows: int | None = None) -> DataFrame:
     """node and component (its least reachable node) of every node that has an edge in edges(a long, b long).
 
     Each round is written to the shared folder, so a lost executor costs one round at most; only a count and a checksum
-    reach the driver. Loops, repeated edges and nulls are dropped; an empty table gives an empty table.
+    reach the driver. Loops, repeated edges and nulls are dropped; an empty table gives an empty table. rows: about how many
+    edges there are at most, where that is known; it and the counts tell how many files a round is worth.
     """
-    own = Table(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), f"{name}-0")
-    state, n = None, 0
-    while True:
+    told = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    own = Table(in_few_files(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), rows), f"{name}-0")
+    state, now, n = None, own.df.agg(*told).first(), 0
+    while now != state and now[0]:
+        state = now
         n += 1
-        following = Table(_small_star(_large_star(own.df).distinct()).distinct(), f"{name}-{n}")
+        following = Table(in_few_files(_small_star(_large_star(own.df).distinct()).distinct(), 2 * now[0]), f"{name}-{n}")
         own.drop()
         own = following
-        now = own.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+        now = own.df.agg(*told).first()
     roots = own.df.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return own.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

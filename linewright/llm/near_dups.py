@@ -29,7 +29,7 @@ from linewright.llm._common import released, slices
 from linewright.llm.components import components
 from linewright.llm.groups import group_roots, ties, whole_groups
 from linewright.llm.shingles import min_hashes, mix, shingle_sets, text_words
-from linewright.plans.lineage import Table, materialize, ship_package
+from linewright.plans.lineage import in_few_files, materialize, ship_package
 
 SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 1024
@@ -43,6 +43,8 @@ FULL = 1_000_000_000
 SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast, at most; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 500_000
+#: Rows of a part: of bands, of those that are compared by sketches, and of whole sets.
+BAND_ROWS, TIED_ROWS, SET_ROWS = 200_000, 10_000, 1_000
 #: Pairs of sketches that are compared at once.
 PAIRS = 20_000
 _rng = np.random.default_rng(20_240_229)
@@ -304,7 +306,7 @@ def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / BUCKET_BLOCK))
     blocks = shared.select(F.when(F.col("n") > BUCKET_BLOCK, F.xxhash64("bucket", block)).otherwise(F.col("bucket")).alias("block"), "rep")
     dealt = blocks.join(sketches, "rep").select("block", "rep", "sketch").repartition("block").sortWithinPartitions("block")
-    edges = materialize(dealt.mapInArrow(released(_alike(to_arrow_schema(_TIE))), _TIE), "ties")
+    edges = materialize(in_few_files(dealt.mapInArrow(released(_alike(to_arrow_schema(_TIE))), _TIE), shared.count(), TIED_ROWS), "ties")
     hot = shared.where(F.col("n") > BUCKET_BLOCK).select("bucket", "rep")
     if hot.isEmpty():
         return edges
@@ -313,7 +315,7 @@ def _ties(shared: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
     """members with root, the component of rep."""
-    roots = components(edges, "roots").select(F.col("node").alias("rep"), "component")
+    roots = components(edges, "roots", edges.count()).select(F.col("node").alias("rep"), "component")
     return members.join(roots, "rep", "left").withColumn("root", F.coalesce("component", "rep")).drop("component")
 
 
@@ -323,15 +325,18 @@ def exact_links(shared: DataFrame, sketches: DataFrame, sets_of: Callable[[DataF
     shared: bucket, rep and n (members of the bucket); sketches: rep and sketch; sets_of: for a table of reps (those in a
     family), their rep and shingles (sorted distinct 64-bit hashes, as bytes).
     """
-    families = materialize(components(_ties(shared, sketches), "families").select(F.col("node").alias("rep"), F.col("component").alias("bucket")), "families")
-    sets = materialize(sets_of(families.select("rep")), "sets")
+    edges = _ties(shared, sketches)
+    families = components(edges, "families", edges.count()).select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
+    families = materialize(in_few_files(families, sketches.count()), "families")
+    n = families.count()
+    sets = materialize(in_few_files(sets_of(families.select("rep")), n, SET_ROWS), "sets")
     load = filling(F.greatest(F.lit(1 / FAMILY_BLOCK), F.length("shingles") / (8 * BLOCK_SHINGLES)))
-    sized = materialize(families.join(sets.select("rep", load.alias("load")), "rep"), "sized-families")
+    sized = materialize(in_few_files(families.join(sets.select("rep", load.alias("load")), "rep"), n), "sized-families")
     blocks = sized.groupBy("bucket").agg(F.ceil(F.sum("load") / FULL).cast("int").alias("blocks"))
     placed = sized.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     payload = sets.join(sketches, "rep")
     inner = in_runs(placed.select("bucket", "block", "rep").join(payload, "rep"), ["bucket", "block"], _within, "a long, b long")
-    links = materialize(inner, "links")
+    links = materialize(in_few_files(inner, n, SET_ROWS), "links")
     split = placed.where("blocks > 1").select("bucket", "rep", "load")
     if split.isEmpty():
         return links
@@ -351,19 +356,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(texts.mapInArrow(released(_signatures(to_arrow_schema(_SIGNATURE))), _SIGNATURE), "signatures")
+    rows = signed.count()
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    copies = materialize(usable.groupBy("rep").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
+    copies = usable.groupBy("rep").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = materialize(in_few_files(copies, rows), "copies")
     # one row of each class: its only one, or one of its least document
     told = usable.join(copies, "rep", "left").select("rep", "doc_id", "low", "bands", "sketch")
     reps = told.where("low is null").unionByName(told.where("low = doc_id").dropDuplicates(["rep"])).drop("low")
 
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(members.join(sizes, "bucket"), "shared-buckets")
-    involved = materialize(reps.select("rep", "doc_id", "sketch").join(shared.select("rep").distinct(), "rep", "left_semi"), "sketches")
+    shared = materialize(in_few_files(members.join(sizes, "bucket"), rows * SAMPLES // ROWS, BAND_ROWS), "shared-buckets")
+    involved = materialize(in_few_files(reps.select("rep", "doc_id", "sketch").join(shared.select("rep").distinct(), "rep", "left_semi"), rows), "sketches")
 
     def sets_of(families: DataFrame) -> DataFrame:
-        ids = materialize(involved.join(families, "rep", "left_semi").select("doc_id").distinct(), "family-ids")
+        ids = materialize(in_few_files(involved.join(families, "rep", "left_semi").select("doc_id").distinct(), rows), "family-ids")
         few = ids.count() <= BROADCAST_IDS
         sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text").mapInArrow(released(_shingles(to_arrow_schema(_SET))), _SET)
         return sets.join(families, "rep", "left_semi").dropDuplicates(["rep"])
@@ -373,10 +380,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = usable.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("doc_id")
     tied = usable.join(several, "doc_id").select("doc_id", "rep")
     own = tied.join(tied.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
-    roots = materialize(components(links.unionByName(own), "near").withColumnRenamed("node", "rep"), "near-roots")
+    roots = materialize(in_few_files(components(links.unionByName(own), "near", rows).withColumnRenamed("node", "rep"), rows), "near-roots")
     least = usable.select("rep", "doc_id").join(roots, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "component").select("rep", "component_id")
-    named = materialize(named.unionByName(copies.join(roots, "rep", "left_anti").select("rep", F.col("low").alias("component_id"))), "named-classes")
+    named = named.unionByName(copies.join(roots, "rep", "left_anti").select("rep", F.col("low").alias("component_id")))
+    named = materialize(in_few_files(named, rows), "named-classes")
 
     full = usable.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")

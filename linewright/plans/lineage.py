@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+#: Rows of a file, where a table's rows are known; parts for each core at least.
+FILE_ROWS, CORE_PARTS = 50_000, 2
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,17 @@ def _shuffles_removed(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def in_few_files(df: DataFrame, rows: int | None, each: int = FILE_ROWS) -> DataFrame:
+    """df in a part for each so many rows, and no fewer than keep all cores busy, however many partitions its shuffles have.
+
+    rows: about how many there are at most (None: unknown, df as it is). All rows stay; a local file system starts two
+    processes for each file that is written, and a store asks for as many requests.
+    """
+    if rows is None:
+        return df
+    return df.coalesce(max(CORE_PARTS * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder, so that a lost executor costs no recomputation."""
 

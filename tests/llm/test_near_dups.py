@@ -171,3 +171,30 @@ def test_clashing_columns_and_very_long_texts(spark):
     assert got == {9: (299_996, 8), 8: (299_996, 8), 7: (2, 6), 6: (2, 6), 5: (2, 5)}
     kept = near_dups.drop_near_duplicates(frame)
     assert kept.columns == frame.columns and sorted((r["doc_id"], r["rep"], r["bucket"], r["component_id"], r["sketch"]) for r in kept.collect()) == [(5, "x", 1, 2, "s"), (6, "x", 1, 2, "s"), (8, "x", 1, 2, "s")]
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions shuffles have: each file is two processes of an executor, or requests to a store."""
+    from pathlib import Path
+
+    from linewright.plans import lineage
+
+    files = {}
+    write = lineage.Table.__init__
+
+    def counted(self, df, name):
+        write(self, df, name)
+        files[name] = len(list(Path(self.path).glob("part-*")))
+
+    monkeypatch.setattr(lineage.Table, "__init__", counted)
+    docs = family(15, 200)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        assert run(spark, docs) == brute(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
