@@ -77,6 +77,17 @@ def test_links_are_kept(spark):
         clustering.cluster_medoids(points, pairs, 2, links=spark.createDataFrame([("a", 0, 99, "must")], "log_id string, i long, j long, kind string")).collect()
 
 
+def test_all_neighbours_are_linked(spark, sf_dir):
+    from linewright import catalog_runs
+
+    v = {r["line_id"]: r for r in catalog_runs.vecs(spark, sf_dir).select("log_id", "line_id", "label").collect()}
+    want = {(i % 10, i, i + 10, "must" if v[i]["label"] == v[i + 10]["label"] else "cannot") for i in v if i + 10 in v}
+    assert len(want) == 490 and {tuple(r) for r in catalog_runs._links(spark, sf_dir).select("log_id", "i", "j", "kind").collect()} == want
+    got = {r["line_id"]: r["cluster"] for r in catalog_runs.constrained_medoids(spark, sf_dir).collect()}
+    assert got.keys() == v.keys()
+    assert all((got[i] == got[j]) == (kind == "must") for _, i, j, kind in want)
+
+
 def test_grid_of_densities_and_rows(spark):
     points, pairs = points_and_pairs(spark, 24)
     got = clustering.density_grid(points, pairs, least=(30, 5), samples=(None, 3)).collect()
